@@ -68,19 +68,35 @@ class Chunk:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte start and end of each maximal run of non-separators, and where each document's words begin."""
         if self._words is None:
-            inside = ~SEPARATOR[self.data]
-            first = inside.copy()
-            first[1:] &= ~inside[:-1]
-            last = inside.copy()
-            last[:-1] &= ~inside[1:]
-            cut = self.offsets[1:-1]
-            cut = cut[(cut > 0) & (cut < len(self.data))]
-            first[cut] = inside[cut]
-            last[cut - 1] = inside[cut - 1]
-            start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-            self._words = start, end, np.searchsorted(start, self.offsets)
+            self._words = self.runs(~SEPARATOR[self.data])
         return self._words
 
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each maximal run of marked bytes within a document, and where each document's runs begin."""
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        cut = self.offsets[1:-1]
+        cut = cut[(cut > 0) & (cut < len(self.data))]
+        first[cut] = inside[cut]
+        last[cut - 1] = inside[cut - 1]
+        start = np.flatnonzero(first)
+        return start, np.flatnonzero(last) + 1, np.searchsorted(start, self.offsets)
+
+    def lowered(self) -> np.ndarray:
+        """The bytes with ASCII and Latin-1 capitals made small."""
+        low = _LOWER[self.data].astype(np.uint8)
+        wide = np.flatnonzero(self.data[:-1] == 0xC3) + 1
+        b = self.data[wide]
+        low[wide] = b + 32 * ((b >= 0x80) & (b <= 0x9E) & (b != 0x97)).astype(np.uint8)
+        return low
+
+    def code_points(self) -> np.ndarray:
+        """For each byte position, the code points of its document before it."""
+        ahead = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=ahead[1:])
+        return ahead
+
     def word_hashes(self, family: int = 0, lower: bool = False) -> np.ndarray:
         table = BYTE_TABLE[family]
         start, end, _ = self.words

@@ -29,7 +29,7 @@ class Limits:
 
     min_words: int = 20
     repeat_words_percent: int = 30
-    duplicate_lines: float = 0.30
+    duplicate_lines: float = 0.50
     duplicate_line_chars: float = 0.30
     symbols: float = 0.10
     ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.40, 8: 0.35, 10: 0.30})
