@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .decontaminate import find_items
 from .jaccard_join import jaccard_join
 from .langid import languages
@@ -83,3 +84,11 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
+
+#: The others tokenise, solve or learn; they are tested against plain versions.
+ORACLE = {
+    "op1_url_filters": oracle.url_filters(URL_RULES),
+    "op2_substring_dedup": oracle.substring_dedup(),
+    "op5_jaccard_join": oracle.jaccard_join(),
+    "op7_quality_rules": oracle.quality_rules(),
+}
