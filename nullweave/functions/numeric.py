@@ -51,9 +51,13 @@ def poisson_binomial(p: Column) -> Column:
 
 
 def poisson_binomial_tail(k: Column, p: Column) -> Column:
-    """P(X >= k) for an array of chances."""
-    upper = F.aggregate(F.slice(poisson_binomial(p), F.greatest(k, F.lit(0)).cast("int") + 1, F.greatest(F.size(p) + 1 - k, F.lit(0)).cast("int")), F.lit(0.0), lambda a, b: a + b)
-    return F.least(F.greatest(upper, F.lit(0.0)), F.lit(1.0))
+    """P(X >= k) for an array of chances: 1 less the k chances below, so only k numbers are carried."""
+    zero = F.array(F.lit(0.0))
+    size = F.greatest(k, F.lit(1)).cast("int")
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - 1))
+    step = lambda d, q: F.zip_with(d, F.slice(F.concat(zero, d), F.lit(1), size), lambda a, b: a * (1 - q) + b * q)
+    below = F.aggregate(F.aggregate(p, start, step), F.lit(0.0), lambda a, b: a + b)
+    return F.when(k <= 0, F.lit(1.0)).when(k > F.size(p), F.lit(0.0)).otherwise(F.greatest(1 - below, F.lit(0.0)))
 
 
 def uniform(seed: int, *keys: Column) -> Column:

@@ -9,18 +9,34 @@ import numpy as np
 from ..errors import ConvergenceError
 
 Array = np.ndarray
+#: Accelerated steps without a new smallest change after which the acceleration is given up.
+STALLED = 100
 
 
 def fixed_point(update: Callable[[Array], Array], start: Array, ftol: float = 1e-8, maxiters: int = 1000, memory: int = 8) -> tuple[Array, int]:
-    """Anderson-accelerated fixed point; the largest change of a plain step bounds the error.
+    """Fixed point of ``update``; the largest change of a plain step bounds the error.
 
-    A step that leaves the domain, or that makes the change much larger, is taken again without acceleration.
-    ``memory`` 0 is the plain iteration."""
+    Anderson acceleration with ``memory`` first (0 is the plain iteration); where that fails, damped steps with a shorter
+    memory, then without."""
+    tries = [(memory, 1.0)] + ([(min(memory, 5), 0.5), (0, 0.5)] if memory else [])
+    for k, (m, damping) in enumerate(tries):
+        try:
+            return _iterate(update if damping == 1 else lambda u, d=damping: u + d * (update(u) - u), start, ftol * damping, maxiters, m)
+        except ConvergenceError:
+            if k == len(tries) - 1:
+                raise
+    raise AssertionError
+
+
+def _iterate(update: Callable[[Array], Array], start: Array, ftol: float, maxiters: int, memory: int) -> tuple[Array, int]:
+    """A step that leaves the domain, or that makes the change much larger, is taken again without acceleration."""
     u = start.copy()
     xs: list[Array] = []
     gs: list[Array] = []
-    last = np.inf
+    last, best_at = np.inf, 0
     for k in range(1, maxiters + 1):
+        if memory and k - best_at > STALLED:
+            break
         with np.errstate(all="ignore"):
             g = update(u)
         if not np.isfinite(g).all():
@@ -34,7 +50,8 @@ def fixed_point(update: Callable[[Array], Array], start: Array, ftol: float = 1e
             return g, k
         if size > 10 * last:
             xs, gs = [], []
-        last = min(last, size)
+        if size < last:
+            last, best_at = size, k
         xs.append(u)
         gs.append(g)
         if memory and len(xs) > 1:
@@ -46,7 +63,7 @@ def fixed_point(update: Callable[[Array], Array], start: Array, ftol: float = 1e
             u = nxt if np.isfinite(nxt).all() else g
         else:
             u = g
-    raise ConvergenceError("fixedpoint", f"{maxiters} iterations, last change {size:.2e}")
+    raise ConvergenceError("fixedpoint", f"{k} iterations, last change {size:.2e}")
 
 
 def search(value: Callable[[Array], float], x: Array, direction: Array, slope: float, now: float) -> tuple[Array, float, float]:

@@ -437,7 +437,7 @@ def reciprocity_dbcm(spark, sf_dir):
 @query()
 def vn_expectation(spark, sf_dir):
     m = BiCM.from_graph(sup_cust(spark, sf_dir)).solve(maxiters=5000)
-    rows = [(layer, n, how, *projection.expected_vn(m, n, layer, how)) for layer in ("bottom",) for n in (2, 3) for how in ("exact", "delta")]
+    rows = [(layer, n, how, *map(float, projection.expected_vn(m, n, layer, how))) for layer in ("bottom",) for n in (2, 3) for how in ("exact", "delta")]
     return spark.createDataFrame(rows, "layer string, n int, method string, mu double, sigma double")
 
 
