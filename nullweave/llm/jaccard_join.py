@@ -4,12 +4,15 @@ A document is its set of distinct ``n``-word shingles.  Documents of equal sets
 global order, rare first, from the counts of 2**18 hash classes over all documents (a table of fixed size).  With
 a = ceil(threshold * size), two linked sets share at least max(a, a') shingles, so
 - if the first shared shingle is rare, it stands among the first size - a + 1 of both: these are indexed singly;
-- else all shared ones are frequent, and the first GROUPS + 1 of them stand among the first size - a + 1 + GROUPS of
-  both; two of these fall into one of GROUPS hash groups, so pairs within a group (k = 2 combinations) are indexed.
-Sets too small for GROUPS + 1 shared shingles index single ones in any case.
-
-Classes that share a signature are candidates.  A signature's group is never expanded into all pairs: its smallest
-class is compared with the others, linked classes are joined into components, and only then the pairs of a group that
+- else all shared ones are frequent, and the first G + 1 of them stand among the first size - a + 1 + G of both; two
+  of these fall into one of G hash groups, so pairs within a group (k = 2 combinations) are indexed.  G is a power of
+  two that grows with the size, which keeps the pairs in proportion to the prefix; a set whose partners may have
+  another G indexes for both.  Sets too small for G + 1 shared shingles index single ones in any case.
+A signature carries its reach, a bound of what two sets can share if it is their first: the size from its first
+shingle's rank on (and G - 1 more for a pair).  Candidates whose reach is too short are no candidates.
+
+Classes that share a signature are candidates.  A signature's group is never expanded into all pairs: its most
+central class is compared with the others, linked classes are joined into components, and only then the pairs of a group that
 lie in different components are compared, which is the least that finds every component.  Comparisons are exact, over
 the texts themselves.
 
@@ -32,7 +35,8 @@ from .engine import batch, components, table, text_map
 from .kernel import WORD_POLY, Chunk, U64, chunks, distinct_sorted, mix, ngram_positions, owners, row_sums, signed
 
 CLASS_BITS = 18
-GROUPS = 16
+#: Sets of up to this size have one group; the number of groups doubles with the size.
+ONE_GROUP = 255
 
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +59,12 @@ def least_shared(size: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-size * t.numerator) // t.denominator)
 
 
-def signatures(values: np.ndarray, off: np.ndarray, counts: np.ndarray, often: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and their document rows."""
+def groups_of(size: np.ndarray) -> np.ndarray:
+    return 1 << np.floor(np.log2(np.maximum(1, 2 * size // (ONE_GROUP + 1)))).astype(np.int64)
+
+
+def signatures(values: np.ndarray, off: np.ndarray, counts: np.ndarray, often: int, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their document rows, and their reach."""
     doc = owners(off)
     bucket = (values >> U64(64 - CLASS_BITS)).astype(np.int64)
     freq = counts[bucket]
@@ -64,26 +72,31 @@ def signatures(values: np.ndarray, off: np.ndarray, counts: np.ndarray, often: i
     v, freq = values[order], freq[order]
     size = np.diff(off)
     rank = np.arange(len(v)) - off[:-1][doc]
+    reach = size[doc] - rank
     extra = np.repeat(size - least_shared(size, t), size)
-    small = np.repeat(least_shared(size, t) <= GROUPS, size)
+    least, most = groups_of(least_shared(size, t)), groups_of(size * t.denominator // t.numerator)
+    small = np.repeat(least_shared(size, t) <= most, size)
     frequent = freq > often
     single = (rank <= extra) & (~frequent | small)
-    out, rows = [v[single]], [doc[single]]
-    pick = np.flatnonzero(frequent & (rank <= extra + GROUPS))
-    if len(pick):
-        group = (mix(v[pick]) & U64(GROUPS - 1)).astype(np.int64)
-        key = doc[pick] * GROUPS + group
-        o = np.argsort(key, kind="stable")
-        pick, key = pick[o], key[o]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        length = np.diff(np.append(begin, len(key)))
-        place = np.arange(len(key)) - np.repeat(begin, length)
-        left = np.repeat(np.arange(len(key)), place)
-        right = np.repeat(np.arange(len(key)) - place, place) + np.arange(len(left)) - np.repeat(np.cumsum(place) - place, place)
-        a, b = v[pick[left]], v[pick[right]]
-        out.append(mix(np.minimum(a, b) + mix(np.maximum(a, b))))
-        rows.append(doc[pick[left]])
-    return np.concatenate(out), np.concatenate(rows)
+    out, rows, reaches = [v[single]], [doc[single]], [reach[single]]
+    for groups, use in ((least, np.ones(len(size), bool)), (most, most != least)):
+        g = groups[doc]
+        pick = np.flatnonzero(frequent & use[doc] & (rank <= extra + g))
+        if not len(pick):
+            continue
+        group = (mix(v[pick]) & (g[pick] - 1).astype(U64)).astype(np.int64)
+        o = np.lexsort((rank[pick], group, doc[pick]))
+        pick, group = pick[o], group[o]
+        begin = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (doc[pick[1:]] != doc[pick[:-1]])))
+        length = np.diff(np.append(begin, len(pick)))
+        place = np.arange(len(pick)) - np.repeat(begin, length)
+        right = np.repeat(np.arange(len(pick)), place)
+        left = np.repeat(np.arange(len(pick)) - place, place) + np.arange(len(right)) - np.repeat(np.cumsum(place) - place, place)
+        a, b = pick[left], pick[right]  # a stands before b
+        out.append(mix(np.minimum(v[a], v[b]) + mix(np.maximum(v[a], v[b]))))
+        rows.append(doc[a])
+        reaches.append(reach[a] + g[a] - 1)
+    return np.concatenate(out), np.concatenate(rows), np.concatenate(reaches)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
@@ -140,16 +153,22 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
 
     def sign(rows: pa.RecordBatch, chunk: Chunk) -> pa.RecordBatch:
         v, off = shingle_sets(chunk, n)
-        sig, doc = signatures(v, off, shared.value, often, t)
-        return batch(sig=signed(sig), node=signed(digests(v, off)[0])[doc], size=np.diff(off)[doc].astype(np.int32))
-
-    signed_rows = text_map(keyed.select("text"), sign, "sig long, node long, size int")
-    low = F.min(F.struct("node", "size"))
-    groups = signed_rows.groupBy("sig").agg(low.alias("low"), F.max("node").alias("high")).where("low.node < high").select("sig", F.col("low.node").alias("pivot"), F.col("low.size").alias("pivot_size"))
-    members = table(signed_rows.join(groups, "sig").select("sig", "node", "size", "pivot", "pivot_size").distinct(), "members")
-
-    near = lambda x, y: f"{t.denominator} * least({x}, {y}) >= {t.numerator} * greatest({x}, {y})"
-    stars = table(members.where("node <> pivot").where(near("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        sig, doc, reach = signatures(v, off, shared.value, often, t)
+        return batch(sig=signed(sig), node=signed(digests(v, off)[0])[doc], size=np.diff(off)[doc].astype(np.int32), reach=reach.astype(np.int32))
+
+    signed_rows = text_map(keyed.select("text"), sign, "sig long, node long, size int, reach int")
+    # Most signatures stand in one class only; the others' rows are kept.
+    groups = table(signed_rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"), "groups")
+    members = table(signed_rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("size").alias("size"), F.max("reach").alias("reach")), "members")
+
+    def near(x: str, y: str) -> str:
+        size = f"{t.denominator} * least({x}.size, {y}.size) >= {t.numerator} * greatest({x}.size, {y}.size)"
+        return f"{size} and {t.denominator + t.numerator} * least({x}.reach, {y}.reach) >= {t.numerator} * ({x}.size + {y}.size)"
+
+    # The class with the fewest rare shingles of its own is the most central.
+    pivots = table(members.groupBy("sig").agg(F.max(F.struct((F.col("reach") / F.col("size")).alias("share"), "node", "size", "reach")).alias("p")).select("sig", "p.node", "p.size", "p.reach"), "pivots")
+    stars = members.alias("m").join(pivots.alias("p"), F.expr(f"m.sig = p.sig and m.node <> p.node and {near('m', 'p')}"))
+    stars = table(stars.select(F.least("m.node", "p.node").alias("a"), F.greatest("m.node", "p.node").alias("b")).distinct(), "stars")
     # One text per class.  Two sets that differ in d2 only share a node here: both texts are then compared.
     kept = info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("m")).select(F.col("d1").alias("node"), "m.id", "m.th")
     asked = members.select("node").distinct()
@@ -157,11 +176,11 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
     links = table(verified(stars, texts, n, t).distinct(), "links")
     comp = components(links)
 
-    placed = members.select("sig", "node", "size").join(comp, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("c"))
+    placed = members.select("sig", "node", "size", "reach").join(comp, "node", "left").select("sig", "node", "size", "reach", F.coalesce("component", "node").alias("c"))
     placed = table(placed, "placed")
     open_groups = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("sig")
     left = placed.join(open_groups, "sig")
-    cross = left.alias("p").join(left.alias("q"), "sig").where("p.node < q.node and p.c <> q.c").where(near("p.size", "q.size")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    cross = left.alias("p").join(left.alias("q"), F.expr(f"p.sig = q.sig and p.node < q.node and p.c <> q.c and {near('p', 'q')}")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     more = table(verified(table(cross.join(stars, ["a", "b"], "left_anti"), "cross"), texts, n, t).distinct(), "more")
     links = links.union(more)
     if more.head(1):

@@ -223,3 +223,21 @@ def test_sliding_argmin():
     for k in range(len(got)):
         w = keys[k : k + 26] >> np.uint64(24)
         assert got[k] == k + int(np.argmin(w))
+
+
+def test_jaccard_join_frequent_tokens_of_many_sizes(spark, monkeypatch):
+    """Sets on both sides of the sizes at which the number of groups changes."""
+    from nullweave.llm import jaccard_join as module
+
+    rnd = random.Random(8)
+    data = []
+    for base, size in enumerate([60, 225, 255, 262, 290, 500, 530, 700]):
+        w = [f"b{base}x{k}" for k in range(size)]
+        for k in range(8):
+            v = w[: size - rnd.randint(0, size // 8)]
+            for _ in range(rnd.randint(0, size // 60)):
+                v[rnd.randrange(len(v))] = f"e{rnd.random()}"
+            data.append((len(data), " ".join(v)))
+    real = module.signatures
+    monkeypatch.setattr(module, "signatures", lambda v, off, counts, often, t: real(v, off, counts, -1, t))
+    assert rows(jaccard_join(frame(spark, data))) == sorted(brute.op5(data), key=repr)
