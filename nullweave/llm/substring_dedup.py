@@ -9,8 +9,8 @@ the true count and no repeated window is lost.  Partition sketches are merged by
 The second pass groups exactly what the sketch estimates to be repeated across documents:
 1. bundles, by a 128-bit fingerprint of all their words: a bundle that also is in a smaller document goes as a whole;
 2. single windows, by 128-bit fingerprints, only for one copy of each bundle whose anchor has different bundles.
-All groupings are minima combined before the shuffle; the joins back are plain equi-joins that adaptive execution can
-split, so a passage in a third of all documents meets in no single task.
+All groupings are minima combined before the shuffle.  Their results are shared tables, so both sides of each join back
+are plain shuffles, which adaptive execution can split: a passage in a third of all documents meets in no single task.
 
 Defined cases: null text has no words; rows with a null id are never a source and stay as they are; rows of the same
 id do not match each other; repeated rows are treated alike; other columns are not read.
@@ -73,7 +73,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
             yield batch(cell=signed(cell), b1=signed(b1), b2=signed(b2), id=longs(rows.column(0))[doc], th=longs(rows.column(1))[doc], s0=start.astype(np.int32), n=count.astype(np.int32))
 
     known = docs.where("id is not null")
-    sketch = text_map(known, cells, "cell long, id long").groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell")
+    sketch = table(text_map(known, cells, "cell long, id long").groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell"), "sketch")
     found = table(text_map(known, full, "cell long, b1 long, b2 long, id long, th long, s0 int, n int").join(sketch, "cell"), "bundles")
 
     key = ["cell", "b1", "b2"]
@@ -98,7 +98,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     single = judged.where("not whole").groupBy("id", "th").agg(F.collect_list(F.struct("s0", "n")).alias("spans"))
     asked = docs.join(single, ["id", "th"], "left").select("id", "th", "text", "spans")
     window = table(text_map(asked, windows, "h1 long, h2 long, id long, th long, s0 int"), "windows")
-    least = window.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    least = table(window.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "least")
     later = window.join(least, ["h1", "h2"]).where("id > first").select("id", "th", "s0", F.lit(1).alias("n"))
     return judged.where("whole").select("id", "th", "s0", "n").union(later).groupBy("id", "th").agg(F.collect_list(F.struct("s0", "n")).alias("spans"))
 
