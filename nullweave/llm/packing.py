@@ -32,6 +32,7 @@ from .kernel import BYTE_POLY, BYTE_TABLE, Chunk, ragged
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
 ROWS_PER_BUCKET = 50_000
+LEAST_BUCKETS = 32
 
 
 def byte_names() -> dict[str, int]:
@@ -246,7 +247,7 @@ def place(pieces: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id
     spark: SparkSession = pieces.sparkSession
     pieces = table(pieces, "pieces")
     total = pieces.count()
-    buckets = max(1, total // ROWS_PER_BUCKET)
+    buckets = max(LEAST_BUCKETS, total // ROWS_PER_BUCKET)
     spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     by = table(spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "lengths")
     counts = np.zeros(size + 1, np.int64)
