@@ -6,6 +6,8 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from nullweave.llm.quality_rules import keep_quality
 from nullweave.llm.queries import read, tokenizer_path
 from nullweave.llm.substring_dedup import remove_repeats
 
+#: Near duplicates share this part of their shingles of so many words; the op5 query keeps values of its own.
+NEAR_WORDS, NEAR_SHARE = 5, Fraction(4, 5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition and symbol rules reject go."""
@@ -25,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays.  Rows without id stay."""
-    kept = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = jaccard_join(docs, NEAR_WORDS, NEAR_SHARE).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null"))
 

@@ -60,6 +60,20 @@ def test_stages_against_plain_versions(spark):
     assert all(len(ids[d, p]) == n for d, p, _, n, _ in want)
 
 
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """Copies with words appended or cut off, on both sides of 0.8 and of the 0.85 of the op5 query."""
+    import corpus_pipeline as pipeline
+
+    data = []
+    for k, other in enumerate([80, 83, 85, 90, 100, 110, 118, 121, 124, 127, 130]):
+        w = [f"b{k}x{j}" for j in range(140)]
+        data += [(10 * k, " ".join(w[:100])), (10 * k + 1, " ".join(w[:other]))]
+    want = sorted(d for d, _, c in brute.op5(data, 5, (4, 5)) if d == c)
+    assert want != sorted(d for d, _, c in brute.op5(data) if d == c)
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_entry_without_operators():
     """The entry module alone holds the guard."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
