@@ -241,3 +241,20 @@ def test_jaccard_join_frequent_tokens_of_many_sizes(spark, monkeypatch):
     real = module.signatures
     monkeypatch.setattr(module, "signatures", lambda v, off, counts, often, t: real(v, off, counts, -1, t))
     assert rows(jaccard_join(frame(spark, data))) == sorted(brute.op5(data), key=repr)
+
+
+def test_decontaminate_replaced_words_and_reflowed_copies(spark):
+    """Four replaced words of an item, and copies whose white space alone differs."""
+    w = "every morning the ferry leaves the northern harbour with letters and parcels for the islands and returns before sunset unless the wind has turned or fog has closed the narrow strait between the two white lighthouses on the cliffs".split()
+    other = list(w)
+    for k in (3, 12, 21, 30):
+        other[k] = "qqqqq"
+    deleted = " ".join(w).replace("the wind has", "the  has")
+    docs = [(1, "so it is " + " ".join(other) + " and on"), (2, "a\n\n" + "   ".join(w) + "  b"), (3, "x " + "\n        ".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3))), (4, "nothing  of  it"), (5, deleted)]
+    items = spark.createDataFrame([(7, " ".join(w)), (8, "  ".join(w))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in find_items(frame(spark, docs), items).collect()}
+    assert set(found) == {(d, i) for d in (1, 2, 3, 5) for i in (7, 8)}
+    for d, i in ((2, 7), (2, 8), (3, 7), (3, 8)):
+        part = dict(docs)[d][found[d, i].start : found[d, i].stop]
+        assert found[d, i].distance == 0 and part.split() == w and part == part.strip()
+    assert [r.doc_id for r in drop_contaminated(frame(spark, docs), items).collect()] == [4]
