@@ -14,7 +14,8 @@ shingle's rank on (and G - 1 more for a pair).  Candidates whose reach is too sh
 Classes that share a signature are candidates.  A signature's group is never expanded into all pairs: its most
 central class is compared with the others, linked classes are joined into components, and only then the pairs of a group that
 lie in different components are compared, which is the least that finds every component.  Comparisons are exact, over
-the texts themselves.
+the texts themselves.  So ``jaccard_join`` has every component, but not every linked pair; ``jaccard_links`` compares all
+candidates and has them all, at the cost of all pairs of a group.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text of fewer than ``n`` words
 has one shingle, the whole sequence; repeated rows link with each other; null ids take part but never name a
@@ -37,6 +38,8 @@ from .kernel import WORD_POLY, Chunk, U64, chunks, distinct_sorted, mix, ngram_p
 CLASS_BITS = 18
 #: Sets of up to this size have one group; the number of groups doubles with the size.
 ONE_GROUP = 255
+#: Members of a signature in one part, where all its pairs are made.
+PART = 64
 
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +124,10 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFra
     return x.mapInArrow(compare, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, classes).  rows: id, th (hash of the text), n_shingles, node (class of equal sets, null if empty).
-    links: a, b, pairs of classes that were compared and are linked; they connect every component.
+    links: a, b, pairs of classes that were compared and are linked; they connect every component, and with ``every`` they
+    are all linked pairs of different classes.
     classes: node, component, for classes with links."""
     t = Fraction(threshold)
     keyed = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
@@ -165,13 +169,25 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
         size = f"{t.denominator} * least({x}.size, {y}.size) >= {t.numerator} * greatest({x}.size, {y}.size)"
         return f"{size} and {t.denominator + t.numerator} * least({x}.reach, {y}.reach) >= {t.numerator} * ({x}.size + {y}.size)"
 
+    # One text per class.  Two sets that differ in d2 only share a node here: both texts are then compared.
+    kept = info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("m")).select(F.col("d1").alias("node"), "m.id", "m.th")
+    asked = members.select("node").distinct()
+    rows = info.select("id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("node"), "d2")
+    if every:
+        # A signature's pairs are split by the left node, so that no task makes all pairs of a large group.
+        sized = members.join(members.groupBy("sig").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sig")
+        one = sized.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+        each = sized.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        pairs = one.alias("p").join(each.alias("q"), F.expr(f"p.sig = q.sig and p.part = q.part and p.node < q.node and {near('p', 'q')}"))
+        pairs = table(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs")
+        texts = table(keyed.join(kept.join(asked, "node"), [keyed.id.eqNullSafe(kept.id), keyed.th == kept.th]).select("node", "text"), "texts")
+        links = table(verified(pairs, texts, n, t).distinct(), "links")
+        return rows, links, components(links)
+
     # The class with the fewest rare shingles of its own is the most central.
     pivots = table(members.groupBy("sig").agg(F.max(F.struct((F.col("reach") / F.col("size")).alias("share"), "node", "size", "reach")).alias("p")).select("sig", "p.node", "p.size", "p.reach"), "pivots")
     stars = members.alias("m").join(pivots.alias("p"), F.expr(f"m.sig = p.sig and m.node <> p.node and {near('m', 'p')}"))
     stars = table(stars.select(F.least("m.node", "p.node").alias("a"), F.greatest("m.node", "p.node").alias("b")).distinct(), "stars")
-    # One text per class.  Two sets that differ in d2 only share a node here: both texts are then compared.
-    kept = info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("m")).select(F.col("d1").alias("node"), "m.id", "m.th")
-    asked = members.select("node").distinct()
     texts = table(keyed.join(kept.join(asked, "node"), [keyed.id.eqNullSafe(kept.id), keyed.th == kept.th]).select("node", "text"), "texts")
     links = table(verified(stars, texts, n, t).distinct(), "links")
     comp = components(links)
@@ -185,7 +201,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
     links = links.union(more)
     if more.head(1):
         comp = components(links)
-    return info.select("id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("node"), "d2"), links, comp
+    return rows, links, comp
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,3 +212,16 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     labelled = table(named.join(names, "c").select("node", "component_id"), "named")
     return rows.join(labelled, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, links), with every linked pair.  documents: one row per document: id, ``n_shingles``, ``node`` (class of
+    equal sets, null if empty), ``n_links`` (other rows that it is linked with, those of its own class included).
+    links: a, b, all linked pairs of different classes, a < b."""
+    rows, links, _ = jaccard_classes(docs, n, threshold, id_col, text_col, every=True)
+    sizes = table(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n")), "class-sizes")
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    far = both.join(sizes.toDF("other", "m"), "other").groupBy("node").agg(F.sum("m").alias("far"))
+    counted = sizes.join(far, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    out = rows.join(counted, "node", "left").select(F.col("id").alias(id_col), "n_shingles", "node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out, links

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nullweave.llm import kernel, packing, queries
 from nullweave.llm.decontaminate import drop_contaminated, find_items, myers
-from nullweave.llm.jaccard_join import jaccard_join
+from nullweave.llm.jaccard_join import jaccard_join, jaccard_links
 from nullweave.llm.quality_rules import Limits, keep_quality, quality_rules
 from nullweave.llm.substring_dedup import remove_repeats
 from nullweave.llm.url_filters import filter_urls
@@ -258,3 +258,20 @@ def test_decontaminate_replaced_words_and_reflowed_copies(spark):
         part = dict(docs)[d][found[d, i].start : found[d, i].stop]
         assert found[d, i].distance == 0 and part.split() == w and part == part.strip()
     assert [r.doc_id for r in drop_contaminated(frame(spark, docs), items).collect()] == [4]
+
+
+def test_jaccard_links_are_all_pairs(spark, odd, monkeypatch):
+    """Near copies that are all linked with each other, equal rows, and odd texts; groups split in parts."""
+    from nullweave.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "PART", 3)
+    w = [f"c{k}" for k in range(200)]
+    data = odd + [(500 + k, " ".join([*w[: 20 * k], f"x{k}", *w[20 * k + 1 :]])) for k in range(10)] + [(510, " ".join(w)), (511, " ".join(w))]
+    sets = [brute.shingles(text) for _, text in data]
+    pairs = [(i, j) for i in range(len(data)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) > 0]
+    linked = [sum(k in p for p in pairs) for k in range(len(data))]
+    docs, links = jaccard_links(frame(spark, data))
+    assert rows(docs, "doc_id", "n_shingles", "n_links") == sorted(((d, len(s), n) for (d, _), s, n in zip(data, sets, linked)), key=repr)
+    assert links.count() == len({frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in pairs if sets[i] != sets[j]})
+    assert links.where("a >= b").count() == 0
+    assert module.jaccard_classes(frame(spark, data))[1].distinct().count() < links.count()
