@@ -3,8 +3,9 @@
 A sparse logistic regression over word 1- and 2-grams tells licence families and an "unknown" class.  It is fitted on the
 driver from the notices below, varied at random, and from paragraphs of a bounded hash sample of the corpus as unknown
 ones (``SAMPLE_DOCS``); a temperature, fitted on notices and paragraphs left out, calibrates its probabilities.  Lines
-are paragraphs; longer ones are judged in windows of ``WINDOW`` words that overlap by half, by prefix sums of each n-gram's
-weights.  A window that is predicted as a family is confirmed if it holds enough of the words of one of its templates.
+are judged in windows of ``WINDOW`` words that overlap by half, by prefix sums of each n-gram's weights.  Windows also run
+over line breaks, up to a line without words, so that wrapped notices are found; they are reported by their first line, and only
+where no line of theirs holds the family by itself; a line that has only words of such a notice is no other one.  A window that is predicted as a family is confirmed if it holds enough of the words of one of its templates.
 One map over whole texts.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none; repeated rows are reported each; null ids
@@ -54,7 +55,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 class Grams:
-    """Tokens of a chunk, their 1- and 2-gram buckets, and windows of paragraphs."""
+    """Tokens of a chunk, their 1- and 2-gram buckets, windows of lines and then, from ``wrapped`` on, windows over lines."""
 
     def __init__(self, chunk: Chunk):
         line = chunk.data == 10
@@ -70,7 +71,7 @@ class Grams:
         self.first = np.flatnonzero(new)
         size = np.diff(np.append(self.first, n))
         joined = np.zeros(n, bool)
-        joined[:-1] = ~new[1:]
+        joined[:-1] = (self.doc[1:] == self.doc[:-1]) & (self.line[1:] - self.line[:-1] <= 1)
         self.one = (mix(h) >> U64(64 - BITS)).astype(np.int64)
         pair = np.zeros(n, np.int64)
         pair[:-1] = (mix(h[:-1] * U64(31) + mix(h[1:])) >> U64(64 - BITS)).astype(np.int64)
@@ -81,6 +82,15 @@ class Grams:
         rank = np.arange(len(par)) - np.repeat(np.cumsum(count) - count, count)
         self.lo = self.first[par] + rank * half if n else np.zeros(0, np.int64)
         self.hi = np.minimum(self.lo + WINDOW, (self.first + size)[par]) if n else np.zeros(0, np.int64)
+        self.wrapped = len(self.lo)
+        if n:
+            starts = -(-size // half)
+            par = np.repeat(np.arange(len(size)), starts)
+            lo = self.first[par] + (np.arange(len(par)) - np.repeat(np.cumsum(starts) - starts, starts)) * half
+            stops = np.flatnonzero(~joined) + 1
+            hi = np.minimum(lo + WINDOW, stops[np.searchsorted(stops, lo, "right")])
+            over = hi > (self.first + size)[par]
+            self.lo, self.hi = np.concatenate([self.lo, lo[over]]), np.concatenate([self.hi, hi[over]])
 
     def logits(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
         """Of each window, by prefix sums of what each token and each pair adds."""
@@ -103,6 +113,11 @@ def likeness(family: str, held: set[bytes]) -> float:
     return max(len(t & held) / len(t) for t in TEMPLATES[family])
 
 
+def shared_words(family: str, held: set[bytes]) -> set[bytes]:
+    """The words of the most alike template that the text has."""
+    return max(TEMPLATES[family], key=lambda t: len(t & held) / len(t)) & held
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -207,7 +222,7 @@ def corpus_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, same: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each paragraph with a notice: id, paragraph (line number from 0), family, probability, similarity (largest
+    """One row for each line or wrapped paragraph with a notice: id, paragraph (first line's number from 0), family, probability, similarity (largest
     share of a template's words), confirmed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,13 +231,30 @@ def scan_licenses(docs: DataFrame, model: Model, least: float = 0.5, same: float
         if not len(g.one):
             return None
         best, p = shared.value.windows(g)
-        hits: dict[tuple[int, int, int], tuple[float, float]] = {}
+        lines, over = [], []
         raw = g.low.tobytes()
         for k in np.flatnonzero((best > 0) & (p >= least)).tolist():
             lo, hi = int(g.lo[k]), int(g.hi[k])
             held = {raw[a:b] for a, b in zip(g.start[lo:hi].tolist(), g.end[lo:hi].tolist())}
             key = (int(g.doc[lo]), int(g.line[lo]), int(best[k]))
-            hits[key] = max(hits.get(key, (0.0, 0.0)), (likeness(FAMILIES[best[k]], held), float(p[k])))
+            hit = (likeness(FAMILIES[best[k]], held), lo, hi, key, float(p[k]), shared_words(FAMILIES[best[k]], held))
+            if k < g.wrapped:
+                lines.append(hit)
+            elif hit[0] >= same:
+                over.append(hit)
+        alone = {key for like, _, _, key, _, _ in lines if like >= same}
+        taken: dict[int, list[tuple]] = {}
+        # Of windows that overlap the most alike one counts, the last one of equals: it starts where the notice does.
+        for hit in sorted(over, key=lambda h: h[:2], reverse=True):
+            _, lo, hi, (doc, line, kind), _, _ = hit
+            if not any(lo < w[2] and w[1] < hi and w[3][2] == kind for w in taken.get(doc, ())) and not any((doc, x, kind) in alone for x in range(line, int(g.line[hi - 1]) + 1)):
+                taken.setdefault(doc, []).append(hit)
+        hits: dict[tuple[int, int, int], tuple[float, float]] = {}
+        for hit in [*lines, *(w for ws in taken.values() for w in ws)]:
+            like, lo, hi, key, prob, told = hit
+            # A part of a wrapped notice is no notice of another family.
+            if not any(lo < w[2] and w[1] < hi and w[3][2] != key[2] and like < w[0] and told <= w[5] for w in taken.get(key[0], ())):
+                hits[key] = max(hits.get(key, (0.0, 0.0)), (like, prob))
         if not hits:
             return None
         doc, line, kind = (np.array(x) for x in zip(*hits))

@@ -166,6 +166,16 @@ def test_licenses_varied(spark):
     assert license_scan.licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    model = license_scan.fit(["the cat sat on a mat and was happy", "of all things the general idea is public", "rights and duties of people in the city"] * 10)
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    data = [(1, gpl), (2, bsd), (3, f"a file\nof ours\n\n{bsd}\n\nsome text"), (4, "all of us\n\nhave rights\n\nwhich are reserved"), (5, "one line\nReleased under the MIT License.\nanother line\n"), (6, f"the cat sat\n on a mat\n{gpl}\n#\n# and was happy")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan_licenses(docs, model).where("confirmed").collect()}
+    assert got == {(1, 0, "gpl"), (2, 0, "bsd"), (3, 3, "bsd"), (5, 1, "mit"), (6, 2, "gpl")}
+
+
 def test_shares_match_margins():
     texts = ["Bonjour le monde", "", "hello world, hello"]
     m = langid.fit(texts * 5, ["fr", "en", "en"] * 5)
