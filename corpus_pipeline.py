@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nullweave.llm.decontaminate import drop_contaminated
 from nullweave.llm.engine import table
-from nullweave.llm.jaccard_join import jaccard_join
+from nullweave.llm.jaccard_join import component_heads
 from nullweave.llm.packing import pack_documents
 from nullweave.llm.quality_rules import keep_quality
 from nullweave.llm.queries import read, tokenizer_path
@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays.  Rows without id stay."""
-    kept = jaccard_join(docs, NEAR_WORDS, NEAR_SHARE).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of similar documents the one with the smallest id stays (of one id's texts, that of the smallest
+    hash), of equal rows of id and text one.  Rows of one id with different texts are judged each by its own component.
+    Rows without id stay."""
+    heads = component_heads(docs, NEAR_WORDS, NEAR_SHARE).toDF("doc_id", "text_hash")
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    named = keyed.join(heads, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
     return named.union(docs.where("doc_id is null"))
 
 

@@ -225,3 +225,11 @@ def jaccard_links(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85
     counted = sizes.join(far, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
     out = rows.join(counted, "node", "left").select(F.col("id").alias(id_col), "n_shingles", "node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return out, links
+
+
+def component_heads(docs: DataFrame, n: int, threshold: Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the row of smallest (id, hash of the text), as id and th; rows of empty sets are each their own."""
+    rows, _, comp = jaccard_classes(docs, n, threshold, id_col, text_col)
+    named = rows.where("id is not null").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    heads = named.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "th")).alias("m")).select("m.id", "m.th")
+    return heads.union(named.where("c is null").select("id", "th").distinct())

@@ -74,6 +74,16 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows of one id with different texts are judged each; equal rows are one."""
+    import corpus_pipeline as pipeline
+
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    data = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, ""), (4, ""), (4, None), (None, a), (5, b + " end")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a), (2, b), (3, c), (4, ""), (4, None), (None, a)], key=repr)
+
+
 def test_entry_without_operators():
     """The entry module alone holds the guard."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
