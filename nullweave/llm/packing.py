@@ -4,8 +4,9 @@
    rows without their ids, are a shared table.
 2. The histogram of piece lengths (at most ``size`` rows) goes to the driver.  A configuration is a multiset of lengths
    that fits a sequence.  The covering program over configurations is solved by multiplicative weights: lengths that
-   are covered less weigh more, and an unbounded-knapsack dynamic program prices the best configuration.  Its solution
-   is rounded down, and what stays is placed by best-fit decreasing on the histogram.
+   are covered less, or fill badly, weigh more, and a bounded-knapsack dynamic program prices the best configurations.
+   Its solution is rounded down, and what stays is solved again, until nothing whole is left of a solution; best-fit
+   decreasing places that last remainder.  There is no other candidate for the plan.
 3. The plan says, for each length and range of ranks, which sequences and which offset.  Ranks come from two levels,
    length and hash bucket, so even a length that a third of all pieces have is ranked by many tasks.
 Everything on the driver is bounded by ``size`` and the number of configurations, not by the documents.
@@ -17,6 +18,7 @@ one by one; null ids are kept; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,6 +35,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_WORDS = 400_000
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 32
+#: The program ends within this share of its bound, or after so many phases.
+GAP = 0.002
+PHASES = 4
 
 
 def byte_names() -> dict[str, int]:
@@ -46,7 +51,8 @@ class Encoder:
     """Token ids of many texts at once.
 
     A space between two characters that are no white space always begins a new token, so texts are cut there, and
-    each distinct cut is encoded once and remembered."""
+    each distinct cut is encoded once and remembered.  Added tokens of the vocabulary file that stand in a text are cut
+    out first and have their own ids, as its tokenizer does."""
 
     _kept: dict[int, Encoder] = {}
 
@@ -65,6 +71,8 @@ class Encoder:
         special = {x["content"] for x in model.get("added_tokens", [])}
         ranks = {bytes(names[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.encode = tiktoken.Encoding("local", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = {x["content"].encode(): x["id"] for x in model.get("added_tokens", [])}
+        self.find_added = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.clear()
 
     def clear(self) -> None:
@@ -75,7 +83,7 @@ class Encoder:
         self.n = 0
 
     def add(self, word: bytes, check: int) -> int:
-        ids = self.encode(word.decode())
+        ids = [self.added[word]] if word in self.added else self.encode(word.decode())
         if self.n + 1 >= len(self.check):
             self.check, self.begin = np.resize(self.check, 2 * len(self.check)), np.resize(self.begin, 2 * len(self.begin))
         stop = self.begin[self.n] + len(ids)
@@ -86,6 +94,19 @@ class Encoder:
         self.n += 1
         return self.n - 1
 
+    def cut_added(self, raw: bytes, off: np.ndarray, cut: np.ndarray) -> None:
+        """Cut before and after each added token of the vocabulary, nowhere within; one that two documents make together is none."""
+        at = 0
+        while self.find_added and (hit := self.find_added.search(raw, at)):
+            a, b = hit.span()
+            stop = int(off[np.searchsorted(off, a, "right")])  # where this document ends
+            at = b if b <= stop else a + 1
+            if b <= stop:
+                cut[a + 1 : b] = False
+                cut[a] = True
+                if b < len(raw):
+                    cut[b] = True
+
     def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of the chunk, and their offsets."""
         if self.n > CACHE_WORDS:
@@ -97,11 +118,12 @@ class Encoder:
         wide = np.isin(pad, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8))  # may begin a white space of several bytes
         cut = (data == 32) & (pad[2:-2] > 32) & (pad[4:] > 32) & ~wide[4:] & ~(pad[1:-3] == 0xC2) & ~(wide[:-4] & (pad[:-4] != 0xC2))
         cut[off[:-1][off[:-1] < len(data)]] = True
+        raw = data.tobytes()
+        self.cut_added(raw, off, cut)
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         h, g = (BYTE_POLY[f].runs(BYTE_TABLE[f][data], start, end) for f in (0, 1))
         values, first, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
         index = np.empty(len(values), np.int64)
         checks = g[first]
         for k, (value, a, check) in enumerate(zip(values.tolist(), first.tolist(), checks.tolist())):
@@ -145,46 +167,92 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, size: int = 1024, end_id
     return text_map(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), cut, schema).withColumnRenamed("id", id_col)
 
 
-def price(weight: np.ndarray) -> np.ndarray:
-    """The multiset of lengths that fits and weighs most: unbounded knapsack over capacities 1..size."""
-    size = len(weight) - 1
-    best, take = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
-        gain = best[c - 1 :: -1] + weight[1 : c + 1]
-        k = int(gain.argmax())
-        best[c], take[c] = (gain[k], k + 1) if gain[k] > best[c - 1] else (best[c - 1], 0)
-    config, c = np.zeros(size + 1, np.int64), size
-    while c > 0:
-        if take[c]:
-            config[take[c]] += 1
-            c -= take[c]
-        else:
-            c -= 1
-    return config
-
-
-def fractional(counts: np.ndarray, rounds: int, step: float, rate: float) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use them, so that every length is about covered."""
+def knapsack(value: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounded knapsack over capacities 0..size: the lengths that are there, ``best[k][c]``, the most value that the k
+    shortest of them fill capacity c with, and ``took[k][c]``, how many pieces of the k-th are in it.  Multiples of a
+    length are tried in powers of two, so a length costs the logarithm of its copies."""
+    size = len(value) - 1
+    lengths = np.flatnonzero(there)
+    best, took = np.zeros((len(lengths) + 1, size + 1)), np.zeros((len(lengths), size + 1), np.int32)
+    for k, length in enumerate(lengths.tolist()):
+        row, pieces = best[k + 1], took[k]
+        row[:] = best[k]
+        left, some = min(int(there[length]), size // length), 1
+        while left > 0:
+            some = min(some, left)
+            w = some * length
+            gain, more = row[:-w] + some * value[length], pieces[:-w] + some
+            up = gain > row[w:] + 1e-12
+            row[w:][up], pieces[w:][up] = gain[up], more[up]
+            left, some = left - some, 2 * some
+    return lengths, best, took
+
+
+def price(k: int, value: np.ndarray, there: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The configuration of most value whose longest piece is the k-th length: lengths and how many of each."""
+    lengths, best, took = tables
+    size, longest = len(value) - 1, int(lengths[k])
+    some = np.arange(1, min(int(there[longest]), size // longest) + 1)
+    most = int(some[(some * value[longest] + best[k][size - some * longest]).argmax()])
+    config, room = [(longest, most)], size - most * longest
+    while k > 0 and room > 0:
+        k -= 1
+        if n := int(took[k, room]):
+            config.append((int(lengths[k]), n))
+            room -= n * int(lengths[k])
+    return tuple(np.array(config).T)
+
+
+def cover(counts: np.ndarray, weight: np.ndarray, rate: float) -> tuple[dict[tuple, float], np.ndarray]:
+    """Cover every length once: how much of which configurations, and the log weights after it.
+
+    The knapsack prices, for every length that still lacks cover, the best configuration that it leads; longer ones go
+    first, each is used until one of its lengths is covered, and the weights of what has been covered shrink by
+    exp(-rate * share) before the next pricing."""
+    size, whole = len(counts) - 1, np.maximum(counts, 1)
+    lack, use = counts.astype(float), {}
+    while (lack > 1e-9).any():
+        before, there = lack.copy(), np.ceil(lack - 1e-9).astype(np.int64)
+        value = np.arange(size + 1) / size * np.exp(weight)
+        tables = knapsack(value, there)
+        for k in range(len(tables[0]) - 1, -1, -1):
+            lengths, n = price(k, value, there, tables)
+            times = float((lack[lengths] / n).min())
+            if times <= 1e-9:
+                break  # priced for what an earlier configuration has used
+            lack[lengths] = np.maximum(lack[lengths] - times * n, 0)
+            lack[lack <= 1e-9] = 0
+            key = tuple(zip(lengths.tolist(), n.tolist()))
+            use[key] = use.get(key, 0.0) + times
+        weight = weight - rate * (before - lack) / whole
+    return use, weight
+
+
+def program(counts: np.ndarray, phases: int = PHASES, gap: float = GAP, start: float = 0.1, rate: float = 0.05, waste: float = 0.5) -> tuple[dict[tuple, float], float]:
+    """The covering program over configurations, by multiplicative weights: a solution and the bound it is held against.
+
+    Weights begin at (length / size) ** start, times the length.  Each phase covers every length once; then the weights
+    of lengths that stand in badly filled configurations grow by exp(waste * unused share).  Phases end when the least
+    phase is within ``gap`` of the dual value (weights in proportion to the lengths, of which no configuration holds
+    more than 1), or after ``phases``; the least phase is the solution."""
     size = len(counts) - 1
-    there = counts > 0
-    n = np.maximum(counts, 1).astype(float)
-    covered = np.zeros(size + 1)
-    volume = np.arange(size + 1) / size
-    chosen: dict[bytes, list] = {}
-    for _ in range(rounds):
-        lack = 1 - covered / n
-        if not (there & (lack > 1e-9)).any():
+    weight = np.zeros(size + 1)
+    weight[1:] = start * np.log(np.arange(1, size + 1) / size)
+    dual, best = float((counts * np.arange(size + 1)).sum() / size), None
+    for _ in range(phases):
+        use, weight = cover(counts, weight, rate)
+        if best is None or sum(use.values()) < sum(best.values()):
+            best = use
+        if sum(best.values()) <= (1 + gap) * dual:
             break
-        weight = np.where(there & (lack > 1e-9), volume * np.exp(rate * lack), 0.0)
-        config = np.minimum(price(weight), counts)
-        if not config.any():
-            break
-        part = config > 0
-        use = max(1.0, step * float(((n - covered)[part] / config[part]).min()))
-        use = min(use, float((n[part] / config[part]).min()))
-        covered += use * config
-        chosen.setdefault(config.tobytes(), [config, 0.0])[1] += use
-    return [(c, x) for c, x in chosen.values()]
+        loose = np.zeros(size + 1)
+        for config, times in use.items():
+            unused = 1 - sum(length * n for length, n in config) / size
+            for length, n in config:
+                loose[length] += times * n * unused
+        weight = weight + waste * loose / np.maximum(counts, 1)
+        weight -= weight[counts > 0].max()
+    return best or {}, dual
 
 
 def best_fit(counts: np.ndarray) -> Counter:
@@ -216,29 +284,34 @@ def best_fit(counts: np.ndarray) -> Counter:
     return out
 
 
-def rounded(counts: np.ndarray, solution: list[tuple[np.ndarray, float]]) -> Counter:
-    """The solution rounded down to what is there; best fit for the rest."""
+def rounded(counts: np.ndarray, solution: dict[tuple, float]) -> Counter:
+    """The solution rounded down to whole configurations that fit into what is there."""
     left, out = counts.copy(), Counter()
-    for config, use in sorted(solution, key=lambda x: -x[1]):
-        part = config > 0
-        times = min(int(use), int((left[part] // config[part]).min()))
+    for config, use in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+        lengths, n = np.array(config).T
+        times = min(int(use + 1e-6), int((left[lengths] // n).min()))
         if times > 0:
-            left -= times * config
-            out[tuple(np.repeat(np.arange(len(config)), config)[::-1].tolist())] += times
-    out.update(best_fit(left))
+            left[lengths] -= times * n
+            out[tuple(np.repeat(lengths, n).tolist())] += times
     return out
 
 
-def plan(counts: np.ndarray, rounds: int = 300, step: float = 0.1, rates: tuple[float, ...] = (0.03, 0.3)) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations with whole multiplicities that hold exactly the pieces counted: the best of the program's
-    solutions at several learning rates, and of no program at all (every piece left to the rounding)."""
-    left = counts.astype(np.int64).copy()
-    full = int(left[-1])
-    left[-1] = 0
-    tries = [rounded(left, fractional(left, rounds, step, rate)) for rate in rates]
-    out = min([*tries, rounded(left, [])], key=lambda c: sum(c.values()))
-    if full:
-        out[(len(counts) - 1,)] += full
+def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations with whole multiplicities that hold exactly the pieces counted.
+
+    The program's solution is rounded down, and what that leaves is solved and rounded again, until the rounding of a solution
+    holds nothing whole; best fit places that last remainder."""
+    left, out = counts.astype(np.int64).copy(), Counter()
+    if left[-1]:
+        out[(len(counts) - 1,)] += int(left[-1])
+        left[-1] = 0
+    while left.any():
+        held = rounded(left, program(left)[0])
+        if not held:
+            held = best_fit(left)
+        for config, times in held.items():
+            np.subtract.at(left, np.array(config), times)
+        out.update(held)
     return sorted(out.items(), reverse=True)
 
 

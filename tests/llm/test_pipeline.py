@@ -50,7 +50,6 @@ def test_stages_against_plain_versions(spark):
     assert docs.columns == columns and not left & leaked and len(left) >= len(got) - len(leaked) - 2
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     packed = stages["best-fit packing"](spark, docs, SF)
     want = sorted(brute.op8([(d, got[d].text) for d in left], tokenizer))
     assert sorted(tuple(r) for r in packed.drop("sequence_id", "offset").collect()) == want

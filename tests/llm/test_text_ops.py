@@ -106,8 +106,8 @@ def test_packing(spark, sample, odd):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tricky = [(900, "it's  we'll\u00a0 x\u2003 y <|endoftext|> \x1c a\x85b \u3000 c  \n\n d'accord 123 ４５ 日本語  "), (901, "Été «déjà» ±3 ÷ end")]
+    tricky += [(902, "<|endoftext|>"), (903, "a<|endoftext|><|endoftext|>b <|endoftext|> <|endoftext|"), (904, "x <|endof"), (905, "text|> y"), (906, " <|endoftext|>\n<|endoftext|> the <|END|>")]
     data = sample + odd + tricky
     got = packing.pack_documents(frame(spark, data), path)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -145,6 +145,38 @@ def test_plan_holds_every_piece():
     assert packing.plan(np.zeros(11, np.int64)) == []
 
 
+def test_knapsack_against_every_multiset():
+    rnd = np.random.default_rng(5)
+    for _ in range(20):
+        there = rnd.integers(0, 4, 13) * (np.arange(13) > 0)
+        value = np.where(there > 0, rnd.random(13), 0)
+        tables = packing.knapsack(value, there)
+        sets = [()]
+        for length in range(1, 13):
+            sets = [(*s, n) for s in sets for n in range(there[length] + 1) if sum(x * y for x, y in enumerate((*s, n), 1)) <= 12]
+        for k, length in enumerate(tables[0].tolist()):
+            lengths, n = packing.price(k, value, there, tables)
+            assert lengths[0] == length and (n <= there[lengths]).all() and (lengths * n).sum() <= 12
+            most = max(sum(x * value[y] for y, x in enumerate(s, 1)) for s in sets if s[length - 1] and not any(s[length:]))
+            assert np.isclose((n * value[lengths]).sum(), most)
+
+
+@pytest.mark.parametrize("times, most", [(1, 456), (50, 22811)])
+def test_plan_comes_from_the_program(spark, times, most, monkeypatch):
+    """On the pieces of the sample table the program alone is no worse than best fit, and near the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = np.zeros(1025, np.int64)
+    for r in packing.token_pieces(docs, queries.tokenizer_path()).groupBy("length").count().collect():
+        counts[r["length"]] = r["count"] * times
+    counts[-1] = 0
+    real, placed = packing.best_fit, []
+    monkeypatch.setattr(packing, "best_fit", lambda left: placed.append(int(left.sum())) or real(left))
+    used = sum(n for _, n in packing.plan(counts))
+    bound = (counts * np.arange(1025)).sum() / 1024
+    assert bound <= used <= min(most, sum(real(counts).values())) and used <= 1.005 * bound + 1
+    assert sum(placed) <= 0.01 * counts.sum()
+
+
 def test_myers():
     rnd = random.Random(2)
     for _ in range(200):
