@@ -1,16 +1,20 @@
 """Substring deduplication behind a count-min prefilter.
 
 A window is ``size`` consecutive words.  Every window has an anchor: the smallest-hash run of size//2 words inside it, a
-function of the window's words alone.  Consecutive windows with one anchor form a bundle.  The count-min row has one
-counter cell per anchor hash (64-bit cells, kept sparsely: a partition's sketch lists only its non-empty cells), and
-a window is estimated by the cell of its anchor.  Equal windows have equal anchors, so the estimate is never below
-the true count and no repeated window is lost.  Partition sketches are merged by Spark's map-side-combined aggregate.
-
-The second pass groups exactly what the sketch estimates to be repeated across documents:
+function of the window's words alone.  Consecutive windows with one anchor form a bundle, which is counted once for each
+document.  The sketch has ``DEPTH`` rows of ``width`` counters; each anchor adds one to one counter of each row.  A chunk's
+sketch is its list of non-zero counters, and Spark's map-side-combined sum merges them.  Counters are shared, so they
+overestimate, and equal windows have equal anchors: a window whose least counter is below 2 is in one document only,
+and no repeated window is lost, whatever the width.  The width bounds the sketch; by default it is the power of two
+from ``BYTES_PER_COUNTER`` bytes of text for each counter of a row on, by which one in sixty single bundles survives.
+Only counters of 2 or more are kept, and they are joined by their number, row after row, never broadcast by hand.
+
+The second pass groups exactly what the sketch estimates to be repeated:
 1. bundles, by a 128-bit fingerprint of all their words: a bundle that also is in a smaller document goes as a whole;
 2. single windows, by 128-bit fingerprints, only for one copy of each bundle whose anchor has different bundles.
-All groupings are minima combined before the shuffle.  Their results are shared tables, so both sides of each join back
-are plain shuffles, which adaptive execution can split: a passage in a third of all documents meets in no single task.
+All groupings are minima or sums combined before the shuffle.  Their results are shared tables, so both sides of each
+join back are plain shuffles, which adaptive execution can split: a passage in a third of all documents meets in no
+single task.
 
 Defined cases: null text has no words; rows with a null id are never a source and stay as they are; rows of the same
 id do not match each other; repeated rows are treated alike; other columns are not read.
@@ -20,13 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .engine import batch, longs, table, text_map
 from .kernel import WORD_POLY, Chunk, U64, mix, ragged, signed, sliding_argmin
 
 BLOCK = 1 << 22
+#: Rows of the count-min sketch, and bytes of text for each counter of a row where no width is given.
+DEPTH = 2
+BYTES_PER_COUNTER = 16
 
 
 def bundles(chunk: Chunk, size: int, fingerprints: bool = True):
@@ -56,29 +63,58 @@ def bundles(chunk: Chunk, size: int, fingerprints: bool = True):
         prints = [WORD_POLY[f].runs(h[f][lo:hi], start, stop) for f in (0, 1)] if fingerprints else [None, None]
         if fingerprints:
             prints[0] = mix(prints[0] + (anchor - start).astype(U64))
-        yield doc, start + lo - off[doc], count, grams[anchor], *prints
+        yield doc, start + lo - off[doc], count, mix(grams[anchor]), *prints
 
 
-def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
-    """Spans (id, th, list of first word and number of windows) whose windows start in a smaller document too.
+def sketch_width(docs: DataFrame) -> int:
+    """The power of two that gives each ``BYTES_PER_COUNTER`` bytes of text one counter of a row, 2**16 at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << max(16, (total // BYTES_PER_COUNTER).bit_length())
 
-    ``docs`` has id, th (hash of the text: tells rows of one id apart) and text."""
 
-    def cells(rows: pa.RecordBatch, chunk: Chunk):
+def counter(cell: str, row: int, width: int) -> Column:
+    """The counter of a sketch row that a cell belongs to: bits of the cell, others for each row (a third of them may
+    coincide beyond 2**32 counters, which costs sharpness only)."""
+    bits = width.bit_length() - 1
+    return F.shiftrightunsigned(cell, max(0, 64 - (row + 1) * bits)).bitwiseAND(F.lit(width - 1))
+
+
+def merged_sketch(docs: DataFrame, size: int, width: int) -> DataFrame:
+    """Counters (row, bucket, n) of the merged sketch that are 2 or more, from ``docs`` (id, text)."""
+
+    def counts(rows: pa.RecordBatch, chunk: Chunk):
         for doc, _, _, cell, _, _ in bundles(chunk, size, fingerprints=False):
-            yield batch(cell=signed(cell), id=longs(rows.column(0))[doc])
+            _, once = np.unique(mix(cell + mix(doc.astype(U64))), return_index=True)
+            values, n = np.unique(cell[once], return_counts=True)
+            yield batch(cell=signed(values), n=n)
+
+    cells = text_map(docs, counts, "cell long, n long")
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("row"), counter("cell", d, width).alias("bucket")) for d in range(DEPTH)]))
+    return cells.select(at.alias("at"), "n").groupBy("at.row", "at.bucket").agg(F.sum("n").alias("n")).where("n >= 2")
+
+
+def repeated_spans(docs: DataFrame, size: int, width: int | None = None) -> DataFrame:
+    """Spans (id, th, list of first word and number of windows) whose windows start in a smaller document too.
+
+    ``docs`` has id, th (hash of the text: tells rows of one id apart) and text."""
 
     def full(rows: pa.RecordBatch, chunk: Chunk):
         for doc, start, count, cell, b1, b2 in bundles(chunk, size):
             yield batch(cell=signed(cell), b1=signed(b1), b2=signed(b2), id=longs(rows.column(0))[doc], th=longs(rows.column(1))[doc], s0=start.astype(np.int32), n=count.astype(np.int32))
 
     known = docs.where("id is not null")
-    sketch = table(text_map(known, cells, "cell long, id long").groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell"), "sketch")
-    found = table(text_map(known, full, "cell long, b1 long, b2 long, id long, th long, s0 int, n int").join(sketch, "cell"), "bundles")
+    width = width or sketch_width(known)
+    if width & (width - 1):
+        raise ValueError("the width of the sketch must be a power of two")
+    sketch = table(merged_sketch(known.select("id", "text"), size, width), "sketch")
+    found = text_map(known, full, "cell long, b1 long, b2 long, id long, th long, s0 int, n int")
+    for d in range(DEPTH):
+        found = found.join(sketch.where(F.col("row") == d).select("bucket"), counter("cell", d, width) == F.col("bucket")).drop("bucket")
+    found = table(found, "bundles")
 
     key = ["cell", "b1", "b2"]
     first = table(found.groupBy(*key).agg(F.min("id").alias("first")), "first")
-    mixed = first.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", F.lit(True).alias("mixed"))
+    mixed = table(first.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", F.lit(True).alias("mixed")), "mixed")
     judged = table(found.join(first.join(mixed, "cell", "left"), key).where("id > first or mixed").select("id", "th", "s0", "n", (F.col("id") > F.col("first")).alias("whole")), "judged")
 
     def windows(rows: pa.RecordBatch, chunk: Chunk):
@@ -103,11 +139,11 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     return judged.where("whole").select("id", "th", "s0", "n").union(later).groupBy("id", "th").agg(F.collect_list(F.struct("s0", "n")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, plus ``dedup_words``, ``dedup_removed`` and ``dedup_text``: the words that no
-    window of a smaller document covers, joined by one space."""
+    window of a smaller document covers, joined by one space.  ``width``: counters in a row of the sketch, a power of two."""
     keyed = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"))
-    spans = repeated_spans(keyed.select("id", "th", "text"), size)
+    spans = repeated_spans(keyed.select("id", "th", "text"), size, width)
 
     def cut(rows: pa.RecordBatch, chunk: Chunk) -> pa.RecordBatch:
         start, end, off = chunk.words

@@ -1,12 +1,12 @@
 import random
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nullweave.llm import kernel, packing, queries
+from nullweave.llm import kernel, packing, queries, substring_dedup
 from nullweave.llm.decontaminate import drop_contaminated, find_items, myers
 from nullweave.llm.jaccard_join import jaccard_join, jaccard_links
 from nullweave.llm.quality_rules import Limits, keep_quality, quality_rules
@@ -66,6 +66,31 @@ def test_substring_dedup_small_window(spark, odd):
     assert rows(got) == sorted(brute.op2(odd, 6), key=repr)
 
 
+@pytest.mark.parametrize("width", [1, 2, 64])
+def test_substring_dedup_loses_nothing_with_a_tiny_sketch(spark, odd, width):
+    """Shared counters let more through to the exact pass, and never less."""
+    got = remove_repeats(frame(spark, odd), size=6, width=width).select("doc_id", "dedup_words", "dedup_removed", F.sha2("dedup_text", 256))
+    assert rows(got) == sorted(brute.op2(odd, 6), key=repr)
+
+
+def test_sketch_overestimates(spark, sample):
+    """Each counter is the number of (document, anchor) pairs that fall on it, so no anchor's estimate is below its count."""
+    docs = frame(spark, sample).select("doc_id", "text").toDF("id", "text")
+    true = Counter()
+    for chunk in kernel.chunks(pa.array([t for _, t in sample])):
+        for doc, _, _, cell, _, _ in substring_dedup.bundles(chunk, 50, fingerprints=False):
+            true.update(c for _, c in {(int(d), int(c)) for d, c in zip(doc, kernel.signed(cell))})
+    for width in (8, 1 << 20):
+        kept = {(r.row, r.bucket): r.n for r in substring_dedup.merged_sketch(docs, 50, width).collect()}
+        assert all(0 <= b < width and n >= 2 for (_, b), n in kept.items())
+        cells = spark.createDataFrame([(c,) for c in true], "cell long").select("cell", *[substring_dedup.counter("cell", d, width).alias(f"b{d}") for d in range(substring_dedup.DEPTH)]).collect()
+        want = Counter()
+        for r in cells:
+            want.update({(d, r[f"b{d}"]): true[r.cell] for d in range(substring_dedup.DEPTH)})
+        assert kept == {k: n for k, n in want.items() if n >= 2}
+        assert width == 8 or sum(min(kept.get((d, r[f"b{d}"]), 0) for d in range(2)) >= 2 for r in cells) < 1.1 * sum(n >= 2 for n in true.values()) + 5
+
+
 @pytest.mark.parametrize("which", ["sample", "odd"])
 def test_jaccard_join(spark, which, request):
     data = request.getfixturevalue(which)
