@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, chunks
@@ -17,24 +17,29 @@ SAMPLE_BYTES = 12 << 20
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list, np.ndarray]:
     """Texts, labels and weights of a hash sample of at most ``rows`` documents for each label.
 
-    ``labels`` has the id and the label; weights give each label its share of all labelled rows.  Reading stops at
-    ``most_bytes`` of text.  Rows without id, label or text are not used."""
+    ``labels`` has the id and the label; weights give each label its share of all labelled rows.  Each label has an equal part of
+    ``most_bytes``; a text that does not fit into what is left of it is left out, and the next ones are tried.  Rows
+    without id, label or text are not used.  One count and one pass for all labels: a hash bound that about
+    ``2 * rows`` ids of a label pass comes before the ordered choice, so no task orders more than these."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for label in sorted(total):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(rows)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
+    if not total:
         return [], [], np.zeros(0)
-    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(picked), "id")
-    texts, ys, used = [], [], 0
-    for r in chosen.orderBy(F.xxhash64("id", F.lit(1)), "id").select("text", "label").toLocalIterator():
-        used += len(r["text"])
-        if used > most_bytes:
-            break
-        texts.append(r["text"])
-        ys.append(r["label"])
+    space = 1 << 40
+    bound = F.create_map(*[F.lit(x) for label in sorted(total) for x in (label, min(space, space * (2 * rows + 100) // total[label]))])
+    near = known.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(space)) < bound[F.col("label")])
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    picked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).drop("rank")
+    each = most_bytes // len(total)
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length("text") <= each)
+    chosen = source.join(F.broadcast(picked), "id")
+    texts, ys, used = [], [], dict.fromkeys(total, 0)
+    for r in chosen.orderBy(F.xxhash64("id", F.lit(1)), "id", "text", "label").select("text", "label").toLocalIterator():
+        size = len(r["text"].encode())
+        if used[r["label"]] + size <= each:
+            used[r["label"]] += size
+            texts.append(r["text"])
+            ys.append(r["label"])
     share = {k: total[k] / max(1, ys.count(k)) for k in total}
     weight = np.array([share[y] for y in ys], float)
     return texts, ys, weight / weight.mean() if len(weight) else weight

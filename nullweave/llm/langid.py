@@ -2,7 +2,7 @@
 
 First the family: one linear support vector machine for each family against the rest.  Within the winning family,
 one-versus-one machines separate its languages and vote.  Features are hashed byte n-grams of 1 to 3 (letters only, case
-folded, other characters as one space class) as shares of the document; every machine is linear in them, so a document's
+folded, each run of other characters as one space) as shares of the document; every machine is linear in them, so a document's
 margins are means of weights gathered at each byte: one map over whole texts, all machines at once.
 
 The driver fits squared-hinge machines on a bounded hash sample for each language (``ROWS_PER_LANGUAGE``,
@@ -47,40 +47,56 @@ def family(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang in codes), "other")
 
 
-def features(chunk: Chunk) -> np.ndarray:
-    """For each byte, the buckets of the n-grams of 1 to 3 bytes that begin there (3 columns).  Repeated non-letters
-    and document ends count as one space."""
-    x = np.where(LETTER[chunk.data], chunk.lowered(), 32).astype(np.uint32)
-    x = np.append(x, np.full(2, 32, np.uint32))
-    a, b, c = x[:-2], x[1:-1], x[2:]
-    two = a << 8 | b
+def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of 1 to 3 bytes that begin at each kept byte (3 columns), and the documents' offsets.
+
+    Letters are kept, and the first of each run of other bytes, as a space.  A document's end counts as spaces, so a
+    document's n-grams are its own, whatever stands beside it."""
+    letter = LETTER[chunk.data]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    starts = chunk.offsets[:-1]
+    keep[starts[starts < len(keep)]] = True
+    ahead = np.concatenate([[0], np.cumsum(keep)])
+    off = ahead[chunk.offsets]
+    x = np.where(letter, chunk.lowered(), 32)[keep].astype(np.uint32)
+    last = off[1:][np.diff(off) > 0] - 1
+    b, c = np.append(x[1:], np.uint32(32)), np.append(x[2:], np.full(2, 32, np.uint32))[: len(x)]
+    b[last] = 32
+    c[last], c[np.maximum(last - 1, 0)] = 32, 32
+    two = x << 8 | b
     three = two << 8 | c
-    return np.stack([a, (two * np.uint32(2654435761)) >> np.uint32(32 - BITS), (three * np.uint32(2246822519)) >> np.uint32(32 - BITS)], 1).astype(np.int64)
+    return np.stack([x, (two * np.uint32(2654435761)) >> np.uint32(32 - BITS), (three * np.uint32(2246822519)) >> np.uint32(32 - BITS)], 1).astype(np.int64), off
 
 
 def shares(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), BUCKETS), np.float32)
     at = 0
     for chunk in text_chunks(texts, 1 << 20):
-        f = features(chunk)
+        f, off = features(chunk)
         for k in range(chunk.n):
-            part = f[chunk.offsets[k] : chunk.offsets[k + 1]].ravel()
+            part = f[off[k] : off[k + 1]].ravel()
             if len(part):
                 out[at + k] = np.bincount(part, minlength=BUCKETS) / len(part)
         at += chunk.n
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float, float]:
-    """Squared-hinge linear machine by accelerated descent: weights, intercept, norm.  y is +1 or -1."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
+def machines(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Squared-hinge linear machines by accelerated descent, all at once: weights (columns) and intercepts.
+
+    ``y``: rows x machines, +1 or -1, or 0 where a machine does not learn from a row; both signs of a machine weigh alike.
+    Everything is in single precision, so the rows are read as they are at every step."""
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(0)), np.where(y < 0, 0.5 / np.maximum(1, (y < 0).sum(0)), 0))
+    pull, y = (2 * y * weight).astype(np.float32), y.astype(np.float32)
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    b = np.zeros(y.shape[1], np.float32)
     v, c = w, b
-    step = 1 / (2 * (np.einsum("ij,ij->i", x, x) * weight).sum() + 2 + ridge)
+    step = (1 / (2 * np.einsum("ij,ij->i", x, x).astype(float) @ weight + 2 + ridge)).astype(np.float32)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v + c)) * y * weight
-        nw, nb = v + step * (2 * x.T @ slack - ridge * v), c + step * 2 * slack.sum()
-        mom = k / (k + 3)
+        slack = np.maximum(0, 1 - y * (x @ v + c)) * pull
+        nw, nb = v + step * (x.T @ slack - np.float32(ridge) * v), c + step * slack.sum(0)
+        mom = np.float32(k / (k + 3))
         v, c = nw + mom * (nw - w), nb + mom * (nb - b)
         w, b = nw, nb
     return w, b
@@ -119,20 +135,20 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
     fams = sorted({family(x) for x in names})
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if family(names[i]) == family(names[j])]
+    if not names:
+        return Model([], [], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros((0, 2)))
     x = shares(texts)
-    spread = 1 / (x.std(0) + 1e-3 / BUCKETS + 1e-6) if len(x) else np.ones(BUCKETS)
+    spread = 1 / (x.std(0) + 1e-3 / BUCKETS + 1e-6)
     x = (x * spread / np.sqrt(BUCKETS)).astype(np.float32)
-    y = np.array(langs, dtype=object)
-    of = np.array([family(v) for v in langs], dtype=object)
-    weights, bias, scale = [], [], []
-    for use, sign in [(slice(None), np.where(of == f, 1.0, -1.0)) for f in fams] + [((y == names[i]) | (y == names[j]), np.where(y == names[i], 1.0, -1.0)) for i, j in pairs]:
-        sx, sy = x[use], sign[use] if not isinstance(use, slice) else sign
-        w, b = machine(sx, sy)
-        margin = sx @ w + b
-        scale.append(logistic(margin[:, None], (sy > 0).astype(float), np.ones(len(sy)), ridge=1.0) if len(set(sy.tolist())) == 2 else np.array([1.0, 5.0]))
-        weights.append(w * spread / np.sqrt(BUCKETS))
-        bias.append(b)
-    return Model(names, fams, pairs, np.array(weights, np.float32).reshape(len(weights), BUCKETS).T.copy(), np.array(bias), np.array(scale).reshape(-1, 2))
+    y, of = np.array(langs, dtype=object), np.array([family(v) for v in langs], dtype=object)
+    sign = np.array([np.where(of == f, 1, -1) for f in fams] + [(y == names[i]) * 1 - (y == names[j]) * 1 for i, j in pairs]).T
+    w, b = machines(x, sign)
+    margin, scale = x @ w + b, []
+    for k in range(sign.shape[1]):
+        use = sign[:, k] != 0
+        both = len(np.unique(sign[use, k])) == 2
+        scale.append(logistic(margin[use, k : k + 1].astype(float), (sign[use, k] > 0).astype(float), np.ones(use.sum()), ridge=1.0) if both else np.array([1.0, 5.0]))
+    return Model(names, fams, pairs, w * (spread / np.sqrt(BUCKETS)).astype(np.float32)[:, None], b.astype(float), np.array(scale).reshape(-1, 2))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -141,12 +157,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def margins(model: Model, chunk: Chunk) -> np.ndarray:
-    f = features(chunk)
+    f, off = features(chunk)
     score = model.weights[f[:, 0]]
     score += model.weights[f[:, 1]]
     score += model.weights[f[:, 2]]
-    total = row_sums(score.astype(np.float64), chunk.offsets)
-    return total / (3 * np.maximum(np.diff(chunk.offsets), 1))[:, None] + model.bias
+    return row_sums(score.astype(np.float64), off) / (3 * np.maximum(np.diff(off), 1))[:, None] + model.bias
 
 
 def has_letter(chunk: Chunk) -> np.ndarray:

@@ -81,7 +81,10 @@ def test_sample_is_bounded(spark):
     texts, ys, weight = labelled_sample(docs, labels, "doc_id", "text", "quality", rows=20)
     assert ys.count(0) == ys.count(1) == 20 and math.isclose(weight.mean(), 1)
     texts, _, _ = labelled_sample(docs, labels, "doc_id", "text", "quality", most_bytes=5000)
-    assert sum(map(len, texts)) <= 5000
+    assert 0 < sum(map(len, texts)) <= 5000
+    one = spark.createDataFrame([(1, "x" * 900), (2, "word"), (3, None), (4, "é" * 10), (5, "far")], "doc_id long, text string")
+    texts, ys, _ = labelled_sample(one, spark.createDataFrame([(k, k % 2, 0) for k in range(7)], "doc_id long, toxic int, text int"), "doc_id", "text", "toxic", most_bytes=60)
+    assert sorted(zip(ys, texts)) == [(0, "word"), (0, "é" * 10), (1, "far")]  # the long text alone is left out
 
 
 def test_marginals_against_enumeration():
@@ -176,6 +179,44 @@ def test_licenses_wrapped(spark):
     assert got == {(1, 0, "gpl"), (2, 0, "bsd"), (3, 3, "bsd"), (5, 1, "mit"), (6, 2, "gpl")}
 
 
+def test_language_margins_do_not_depend_on_neighbours(spark):
+    """Equal scores whatever stands beside a text, under any chunking, order and partitioning."""
+    texts = ["no", "a", "", "Bonjour le monde!!", "hello -- world, hello", "ñ", "no", " \n", "b" * 300, "nö  nö"]
+    m = langid.fit(["Bonjour le monde", "hello world, hello", "no sé nada", "der die das"] * 5, ["fr", "en", "es", "de"] * 5)
+    alone = np.concatenate([langid.margins(m, c) for t in texts for c in text_chunks([t])])
+    for limit in (1, 20, 1 << 20):
+        assert np.allclose(np.concatenate([langid.margins(m, c) for c in text_chunks(texts, limit)]), alone, rtol=0, atol=1e-9)
+    back = np.concatenate([langid.margins(m, c) for c in text_chunks(texts[::-1])])[::-1]
+    assert np.allclose(back, alone, rtol=0, atol=1e-9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = (sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(d, m).collect()) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(7)))
+    assert one == many
+
+
+def test_language_features_by_hand():
+    """N-grams of each text with every run of other bytes made one space, and spaces after its end."""
+    texts = ["Ab, c", "..x", "", "--"]
+    f, off = (x for c in text_chunks(texts) for x in langid.features(c))
+    got = [[int(v) for v in f[off[k] : off[k + 1], 0]] for k in range(len(texts))]
+    assert got == [[ord(x) for x in y] for y in ("ab c", " x", "", " ")]
+    bucket = lambda s, factor: (int.from_bytes(s.encode(), "big") * factor % 2**32) >> (32 - langid.BITS)
+    for k, y in enumerate(("ab c", " x", "", " ")):
+        for j in range(len(y)):
+            padded = y + "  "
+            assert f[off[k] + j, 1] == bucket(padded[j : j + 2], 2654435761) and f[off[k] + j, 2] == bucket(padded[j : j + 3], 2246822519)
+
+
+def test_machines_match_one_by_one():
+    rnd = np.random.default_rng(4)
+    x = rnd.random((90, 20)).astype(np.float32)
+    y = np.stack([np.where(x[:, 0] > 0.5, 1, -1), np.where(x[:, 1] > 0.3, 1, -1) * (np.arange(90) % 3 > 0)], 1)
+    w, b = langid.machines(x, y)
+    use = y[:, 1] != 0
+    one, c = langid.machines(x[use], y[use, 1:])
+    assert np.allclose(w[:, 1:], one, atol=1e-4) and np.allclose(b[1:], c, atol=1e-4)
+    assert np.mean(np.sign(x @ w + b)[:, 0] == y[:, 0]) > 0.9
+
+
 def test_shares_match_margins():
     texts = ["Bonjour le monde", "", "hello world, hello"]
     m = langid.fit(texts * 5, ["fr", "en", "en"] * 5)
