@@ -47,8 +47,12 @@ ORDINARY = ["He lost his driving license on the way to work.", "The rights of th
 FAMILIES = ["unknown", *sorted(NOTICES)]
 BITS = 15
 WINDOW = 40
+#: Windows whose n-grams are summed at once.
+BLOCK = 1 << 13
+#: Bounds of the unknown class: documents, bytes of text in all, and paragraphs of one document.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2 << 20
+SAMPLE_PARAGRAPHS = 20
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -93,12 +97,19 @@ class Grams:
             self.lo, self.hi = np.concatenate([self.lo, lo[over]]), np.concatenate([self.hi, hi[over]])
 
     def logits(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Of each window, by prefix sums of what each token and each pair adds."""
-        n = len(self.one)
-        sums = np.zeros((2, n + 1, weights.shape[1]), np.float32)
-        np.cumsum(weights[self.one], axis=0, out=sums[0, 1:])
-        np.cumsum(np.where(self.joined[:, None], weights[self.two], 0), axis=0, out=sums[1, 1:])
-        return sums[0][self.hi] - sums[0][self.lo] + sums[1][self.hi - 1] - sums[1][self.lo] + bias
+        """Of each window, by prefix sums of what each token and each pair adds, over blocks of windows: double precision
+        and short sums, so that a window's value does not depend on how much stands before it."""
+        out = np.zeros((len(self.lo), weights.shape[1]))
+        for a, b in [(0, self.wrapped), (self.wrapped, len(self.lo))]:
+            for x in range(a, b, BLOCK):
+                lo, hi = self.lo[x : min(b, x + BLOCK)], self.hi[x : min(b, x + BLOCK)]
+                first, last = int(lo[0]), int(hi.max())
+                sums = np.zeros((2, last - first + 1, weights.shape[1]))
+                np.cumsum(weights[self.one[first:last]], axis=0, dtype=float, out=sums[0, 1:])
+                np.cumsum(np.where(self.joined[first:last, None], weights[self.two[first:last]], 0), axis=0, dtype=float, out=sums[1, 1:])
+                lo, hi = lo - first, hi - first
+                out[x : x + len(lo)] = sums[0][hi] - sums[0][lo] + sums[1][hi - 1] - sums[1][lo] + bias
+        return out
 
 
 def words(text: bytes) -> set[bytes]:
@@ -209,15 +220,16 @@ def fit(paragraphs: list[str], copies: int = 40, rounds: int = 120) -> Model:
 
 
 def corpus_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Lines of a hash sample of at most SAMPLE_DOCS documents and SAMPLE_BYTES bytes."""
+    """The first SAMPLE_PARAGRAPHS lines of each of a hash sample of at most SAMPLE_DOCS documents, of at most SAMPLE_BYTES
+    bytes in all; a text that does not fit into what is left of these is left out, and the next ones are tried."""
     out, used = [], 0
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null")
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.expr(f"id is not null and octet_length(text) <= {SAMPLE_BYTES}"))
     ids = source.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
     for r in source.join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator():
-        used += len(r["text"])
-        if used > SAMPLE_BYTES:
-            break
-        out += [p for p in r["text"].split("\n") if p.strip()][:20]
+        size = len(r["text"].encode())
+        if used + size <= SAMPLE_BYTES:
+            used += size
+            out += [p for p in r["text"].split("\n") if p.strip()][:SAMPLE_PARAGRAPHS]
     return out
 
 

@@ -261,3 +261,23 @@ def test_shares_match_margins():
     x = langid.shares(texts)
     got = np.concatenate([langid.margins(m, c) for c in text_chunks(texts)])
     assert np.allclose(got, x @ m.weights + m.bias, atol=1e-4)
+
+
+def test_license_windows_after_very_long_text():
+    """A notice's logits are the same at the start of a text and after a million words."""
+    model = license_scan.fit(["the cat sat on a mat and was happy", "of all things the general idea is public"] * 10)
+    notice = "Released under the MIT License."
+    ahead = "some words of a long line and so on " * 30
+    values = []
+    for text in (notice, f"{ahead}\n" * 4000 + notice):
+        g = license_scan.Grams(next(text_chunks([text])))
+        at = np.flatnonzero(g.lo[: g.wrapped] == g.first[-1])[0]
+        values.append(g.logits(model.weights, model.bias)[at])
+    assert np.allclose(*values, rtol=0, atol=1e-6)
+
+
+def test_sample_of_paragraphs_leaves_out_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "SAMPLE_BYTES", 100)
+    docs = spark.createDataFrame([(k, f"line {k}\n\nmore") for k in range(5)] + [(5, "y" * 90), (6, "x" * 5000), (7, None), (None, "z")], "doc_id long, text string")
+    got = license_scan.corpus_paragraphs(docs)
+    assert {"more"} | {f"line {k}" for k in range(5)} <= set(got) | {"y" * 90} and not any("x" in p for p in got) and len(got) >= 3
