@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +18,16 @@ from .kernel import Chunk, chunks
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints (``spark.checkpoint.dir``); a temporary one where unset."""
+    """The folder that the cluster shares for checkpoints (``spark.checkpoint.dir``).  Where it is unset, a temporary folder
+    serves a master within this process; with any other master its executors would not see it, which is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='nullweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(__import__("shutil").rmtree, path.removeprefix("file://"), ignore_errors=True)
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path.rstrip("/")
 
 
@@ -66,23 +72,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge, from columns a and b.
 
     Alternates the large-star and small-star steps, each one aggregate of minima (combined before the shuffle) and one
-    join, so no node's neighbours are ever gathered; a hub only skews a join, which adaptive execution splits.
-    Every round's edges are a shared table, so a lost executor repeats one round at most.  Null nodes are ignored.
-    """
+    join.  The minima are a shared table before they are joined, so both sides of a join are plain shuffles, and adaptive
+    execution can split the rows of a hub; no node's neighbours are ever gathered.  Every round's edges are a shared table, so a
+    lost executor repeats one round at most.  It ends when all edges form stars around their smallest node: when no
+    node has two smaller neighbours, and none has both a smaller and a larger one.  Null nodes are ignored."""
     e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").head(1):
+            break
         both = e.union(e.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        low = table(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "low")
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = table(large.where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = table(small.where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
