@@ -12,10 +12,14 @@ A signature carries its reach, a bound of what two sets can share if it is their
 shingle's rank on (and G - 1 more for a pair).  Candidates whose reach is too short are no candidates.
 
 Classes that share a signature are candidates.  A signature's group is never expanded into all pairs: its most
-central class is compared with the others, linked classes are joined into components, and only then the pairs of a group that
-lie in different components are compared, which is the least that finds every component.  Comparisons are exact, over
-the texts themselves.  So ``jaccard_join`` has every component, but not every linked pair; ``jaccard_links`` compares all
-candidates and has them all, at the cost of all pairs of a group.
+central class, the pivot, is compared with the others, and linked classes are joined into components.  As long as the
+pivot of a large group (more than ``PART`` classes) finds links and the group is not yet one component, the most central class
+of its other components is the next pivot.  What stays are the pairs of small groups, and of large ones whose pivot is linked with nothing, that
+lie in different components; they are compared each, split over parts of a group.  Every class has a histogram of its
+shingles over ``BINS`` hash classes; the sum of the least counts bounds what two sets share, so most candidates
+fall before any text is read, and no link does.  The rest are compared exactly, over the texts themselves.
+So ``jaccard_join`` has every component, but not every linked pair; ``jaccard_links`` compares all candidates and has
+them all, at the cost of all pairs of a group.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text of fewer than ``n`` words
 has one shingle, the whole sequence; repeated rows link with each other; null ids take part but never name a
@@ -40,6 +44,8 @@ CLASS_BITS = 18
 ONE_GROUP = 255
 #: Members of a signature in one part, where all its pairs are made.
 PART = 64
+#: Hash classes of a set's histogram; counts of 255 stand for 255 or more.
+BINS = 128
 
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +64,13 @@ def digests(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [mix(row_sums(mix(values ^ U64(seed)), off) + np.diff(off).astype(U64)) for seed in (0x51ED27, 0xA0761D64)]
 
 
+def histograms(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each set how many members fall on each of BINS hash classes, 255 at most."""
+    n = len(off) - 1
+    bins = (mix(values ^ U64(0x2F1B7)) >> U64(57)).astype(np.int64)
+    return np.minimum(np.bincount(owners(off) * BINS + bins, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
 def least_shared(size: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-size * t.numerator) // t.denominator)
 
@@ -102,8 +115,25 @@ def signatures(values: np.ndarray, off: np.ndarray, counts: np.ndarray, often: i
     return np.concatenate(out), np.concatenate(rows), np.concatenate(reaches)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, from ``texts`` (node, text)."""
+def promising(pairs: DataFrame, hists: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose histograms (node, n_shingles, hist) allow them to be similar enough."""
+    x = pairs.join(hists.toDF("a", "na", "ha"), "a").join(hists.toDF("b", "nb", "hb"), "b").select("a", "b", "na", "nb", "ha", "hb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            size = sum(rows.column(k).to_numpy() for k in (2, 3))
+            left, right = (np.frombuffer(b"".join(rows.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+            least = np.minimum(left, right)
+            shared = least.sum(1, dtype=np.int64)
+            ok = (least == 255).any(1) | ((t.denominator + t.numerator) * shared >= t.numerator * size)
+            yield batch(a=rows.column(0), b=rows.column(1)).filter(pa.array(ok))
+
+    return x.mapInArrow(bounded, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, hists: DataFrame, texts: DataFrame, n: int, t: Fraction, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, as a shared table, from ``texts`` (node, text)."""
+    pairs = table(promising(pairs, hists, t), "promising")
     x = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFra
                     ok = (t.denominator * shared >= t.numerator * union) & (shared > 0)
                     yield batch(a=part.column(0), b=part.column(1)).filter(pa.array(ok))
 
-    return x.mapInArrow(compare, "a long, b long")
+    return table(x.mapInArrow(compare, "a long, b long").distinct(), name)
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,12 +171,13 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
                 d1, d2 = digests(v, off)
                 counts += np.bincount((v >> U64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts))
                 part, k = rows.slice(chunk.lo, chunk.n), chunk.n
-                yield batch(id=part.column(0), th=part.column(1), n_shingles=np.diff(off), d1=signed(d1), d2=signed(d2), bucket=none(k, pa.int32()), seen=none(k, pa.int64()))
+                hist = pa.Array.from_buffers(pa.binary(BINS), k, [None, pa.py_buffer(histograms(v, off).tobytes())]).cast(pa.binary())
+                yield batch(id=part.column(0), th=part.column(1), n_shingles=np.diff(off), d1=signed(d1), d2=signed(d2), hist=hist, bucket=none(k, pa.int32()), seen=none(k, pa.int64()))
         used = np.flatnonzero(counts)
         k = len(used)
-        yield batch(id=none(k, pa.int64()), th=none(k, pa.int64()), n_shingles=none(k, pa.int64()), d1=none(k, pa.int64()), d2=none(k, pa.int64()), bucket=used.astype(np.int32), seen=counts[used])
+        yield batch(id=none(k, pa.int64()), th=none(k, pa.int64()), n_shingles=none(k, pa.int64()), d1=none(k, pa.int64()), d2=none(k, pa.int64()), hist=none(k, pa.binary()), bucket=used.astype(np.int32), seen=counts[used])
 
-    first = table(keyed.mapInArrow(sets, "id long, th long, n_shingles long, d1 long, d2 long, bucket int, seen long"), "sets")
+    first = table(keyed.mapInArrow(sets, "id long, th long, n_shingles long, d1 long, d2 long, hist binary, bucket int, seen long"), "sets")
     info = first.where("bucket is null").drop("bucket", "seen")
     # 2**18 rows at most, whatever the input.
     seen = first.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
@@ -170,8 +201,11 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
         return f"{size} and {t.denominator + t.numerator} * least({x}.reach, {y}.reach) >= {t.numerator} * ({x}.size + {y}.size)"
 
     # One text per class.  Two sets that differ in d2 only share a node here: both texts are then compared.
-    kept = info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("m")).select(F.col("d1").alias("node"), "m.id", "m.th")
+    kept = info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "n_shingles", "hist")).alias("m")).select(F.col("d1").alias("node"), "m.*")
     asked = members.select("node").distinct()
+    kept = table(kept.join(asked, "node"), "kept")
+    hists = kept.select("node", "n_shingles", "hist")
+    texts = table(keyed.join(kept.select("node", "id", "th"), [keyed.id.eqNullSafe(kept.id), keyed.th == kept.th]).select("node", "text"), "texts")
     rows = info.select("id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("node"), "d2")
     if every:
         # A signature's pairs are split by the left node, so that no task makes all pairs of a large group.
@@ -180,26 +214,50 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
         each = sized.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         pairs = one.alias("p").join(each.alias("q"), F.expr(f"p.sig = q.sig and p.part = q.part and p.node < q.node and {near('p', 'q')}"))
         pairs = table(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs")
-        texts = table(keyed.join(kept.join(asked, "node"), [keyed.id.eqNullSafe(kept.id), keyed.th == kept.th]).select("node", "text"), "texts")
-        links = table(verified(pairs, texts, n, t).distinct(), "links")
+        links = verified(pairs, hists, texts, n, t, "links")
         return rows, links, components(links)
 
-    # The class with the fewest rare shingles of its own is the most central.
-    pivots = table(members.groupBy("sig").agg(F.max(F.struct((F.col("reach") / F.col("size")).alias("share"), "node", "size", "reach")).alias("p")).select("sig", "p.node", "p.size", "p.reach"), "pivots")
-    stars = members.alias("m").join(pivots.alias("p"), F.expr(f"m.sig = p.sig and m.node <> p.node and {near('m', 'p')}"))
-    stars = table(stars.select(F.least("m.node", "p.node").alias("a"), F.greatest("m.node", "p.node").alias("b")).distinct(), "stars")
-    texts = table(keyed.join(kept.join(asked, "node"), [keyed.id.eqNullSafe(kept.id), keyed.th == kept.th]).select("node", "text"), "texts")
-    links = table(verified(stars, texts, n, t).distinct(), "links")
-    comp = components(links)
-
-    placed = members.select("sig", "node", "size", "reach").join(comp, "node", "left").select("sig", "node", "size", "reach", F.coalesce("component", "node").alias("c"))
-    placed = table(placed, "placed")
-    open_groups = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("sig")
-    left = placed.join(open_groups, "sig")
-    cross = left.alias("p").join(left.alias("q"), F.expr(f"p.sig = q.sig and p.node < q.node and p.c <> q.c and {near('p', 'q')}")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = table(verified(table(cross.join(stars, ["a", "b"], "left_anti"), "cross"), texts, n, t).distinct(), "more")
-    links = links.union(more)
+    def compared(rows: DataFrame, pivots: DataFrame, name: str) -> DataFrame:
+        """Pairs of the pivots with the other classes of their groups, components ``c`` apart where there are some."""
+        apart = " and m.c <> p.c" if "c" in rows.columns else ""
+        stars = rows.alias("m").join(pivots.alias("p"), F.expr(f"m.sig = p.sig and m.node <> p.node and {near('m', 'p')}{apart}"))
+        return table(stars.select(F.least("m.node", "p.node").alias("a"), F.greatest("m.node", "p.node").alias("b")).distinct(), name)
+
+    def central(rows: DataFrame) -> DataFrame:
+        """Of each group the class with the fewest rare shingles of its own."""
+        columns = [c for c in rows.columns if c != "sig"]
+        most = rows.groupBy("sig").agg(F.max(F.struct((F.col("reach") / F.col("size")).alias("share"), *columns)).alias("p"))
+        return table(most.select("sig", *[f"p.{c}" for c in columns]), "pivots")
+
+    pivots = central(members)
+    seen_pairs = compared(members, pivots, "stars")
+    links = verified(seen_pairs, hists, texts, n, t, "links")
+    used = pivots.select("sig", "node")
+    while True:
+        comp = table(components(links), "components")
+        placed = table(members.join(comp, "node", "left").select("sig", "node", "size", "reach", F.coalesce("component", "node").alias("c")), "placed")
+        groups = table(placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", "n"), "open")
+        left = table(placed.join(groups, "sig"), "left")
+        # Large groups whose last pivot is linked with another class of the group go on with the other components.
+        large = left.where(F.col("n") > PART)
+        last = pivots.select("sig", "node").join(large.select("sig", "node", "c"), ["sig", "node"]).select("sig", F.col("c").alias("pc"))
+        going = table(large.join(last, "sig").where("c = pc").groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "going")
+        if not going.head(1):
+            break
+        done = table(used.join(large.select("sig", "node", "c"), ["sig", "node"]).select("sig", "c").distinct(), "done")
+        fresh = large.join(going, "sig").join(done, ["sig", "c"], "left_anti").select("sig", "node", "size", "reach", "c")
+        pivots = central(fresh)
+        stars = table(compared(large.join(pivots.select("sig"), "sig").select("sig", "node", "size", "reach", "c"), pivots, "stars").join(seen_pairs, ["a", "b"], "left_anti"), "stars")
+        links = links.union(verified(stars, hists, texts, n, t, "links"))
+        used, seen_pairs = used.union(pivots.select("sig", "node")), seen_pairs.union(stars)
+    sized = left.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    one = sized.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    each = sized.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    cross = one.alias("p").join(each.alias("q"), F.expr(f"p.sig = q.sig and p.part = q.part and p.c <> q.c and p.node < q.node and {near('p', 'q')}"))
+    cross = cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    more = verified(table(cross.join(seen_pairs, ["a", "b"], "left_anti"), "cross"), hists, texts, n, t, "more")
     if more.head(1):
+        links = links.union(more)
         comp = components(links)
     return rows, links, comp
 

@@ -317,6 +317,40 @@ def test_decontaminate_replaced_words_and_reflowed_copies(spark):
     assert [r.doc_id for r in drop_contaminated(frame(spark, docs), items).collect()] == [4]
 
 
+def test_jaccard_join_rounds_of_pivots(spark, odd, monkeypatch):
+    """Clusters that share most of a long passage, in groups beyond PART: pivots in rounds, then split listing."""
+    from nullweave.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "PART", 4)
+    rnd = random.Random(12)
+    common = [f"c{k}" for k in range(120)]
+    data = []
+    for cluster in range(9):
+        own = [f"o{cluster}x{k}" for k in range(60)]
+        for k in range(7):
+            w = common + own[: 60 - rnd.randint(0, 4)]
+            for _ in range(rnd.randint(0, 2)):
+                w[120 + rnd.randrange(40)] = f"e{rnd.random()}"
+            data.append((len(data) + 1000, " ".join(w)))
+    real, rounds = module.verified, []
+    monkeypatch.setattr(module, "verified", lambda *x: rounds.append(x[-1]) or real(*x))
+    assert rows(jaccard_join(frame(spark, data + odd))) == sorted(brute.op5(data + odd), key=repr)
+    assert rounds.count("links") >= 2 and rounds[-1] == "more"
+
+
+def test_histograms_bound_what_is_shared():
+    from nullweave.llm import jaccard_join as module
+
+    rnd = np.random.default_rng(2)
+    pool = kernel.mix(np.arange(60000, dtype=np.uint64))
+    for size in (1, 50, 700, 40000):
+        a, b = (np.unique(rnd.choice(pool, size)) for _ in range(2))
+        h = module.histograms(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        least = np.minimum(h[0], h[1])
+        assert h.shape == (2, module.BINS) and ((least == 255).any() or least.sum() >= len(np.intersect1d(a, b)))
+        assert size > 40000 or (h == 255).any() or (h.sum(1) == [len(a), len(b)]).all()
+
+
 def test_jaccard_links_are_all_pairs(spark, odd, monkeypatch):
     """Near copies that are all linked with each other, equal rows, and odd texts; groups split in parts."""
     from nullweave.llm import jaccard_join as module
