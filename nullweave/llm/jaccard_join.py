@@ -15,7 +15,7 @@ Classes that share a signature are candidates.  A signature's group is never exp
 central class, the pivot, is compared with the others, and linked classes are joined into components.  As long as the
 pivot of a large group (more than ``PART`` classes) finds links and the group is not yet one component, the most central class
 of its other components is the next pivot.  What stays are the pairs of small groups, and of large ones whose pivot is linked with nothing, that
-lie in different components; they are compared each, split over parts of a group.  Every class has a histogram of its
+lie in different components; they are compared each.  Every class has a histogram of its
 shingles over ``BINS`` hash classes; the sum of the least counts bounds what two sets share, so most candidates
 fall before any text is read, and no link does.  The rest are compared exactly, over the texts themselves.
 So ``jaccard_join`` has every component, but not every linked pair; ``jaccard_links`` compares all candidates and has
@@ -232,10 +232,10 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
     pivots = central(members)
     seen_pairs = compared(members, pivots, "stars")
     links = verified(seen_pairs, hists, texts, n, t, "links")
-    used = pivots.select("sig", "node")
+    used, left = pivots.select("sig", "node"), members
     while True:
         comp = table(components(links), "components")
-        placed = table(members.join(comp, "node", "left").select("sig", "node", "size", "reach", F.coalesce("component", "node").alias("c")), "placed")
+        placed = table(left.join(comp, "node", "left").select("sig", "node", "size", "reach", F.coalesce("component", "node").alias("c")), "placed")
         groups = table(placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", "n"), "open")
         left = table(placed.join(groups, "sig"), "left")
         # Large groups whose last pivot is linked with another class of the group go on with the other components.
@@ -250,10 +250,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
         stars = table(compared(large.join(pivots.select("sig"), "sig").select("sig", "node", "size", "reach", "c"), pivots, "stars").join(seen_pairs, ["a", "b"], "left_anti"), "stars")
         links = links.union(verified(stars, hists, texts, n, t, "links"))
         used, seen_pairs = used.union(pivots.select("sig", "node")), seen_pairs.union(stars)
-    sized = left.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    one = sized.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    each = sized.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    cross = one.alias("p").join(each.alias("q"), F.expr(f"p.sig = q.sig and p.part = q.part and p.c <> q.c and p.node < q.node and {near('p', 'q')}"))
+    cross = left.alias("p").join(left.alias("q"), F.expr(f"p.sig = q.sig and p.c <> q.c and p.node < q.node and {near('p', 'q')}"))
     cross = cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     more = verified(table(cross.join(seen_pairs, ["a", "b"], "left_anti"), "cross"), hists, texts, n, t, "more")
     if more.head(1):
@@ -267,7 +264,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85,
     rows, _, comp = jaccard_classes(docs, n, threshold, id_col, text_col)
     least = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     named = table(least.join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "classes")
-    names = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    names = table(named.groupBy("c").agg(F.min("least").alias("component_id")), "names")
     labelled = table(named.join(names, "c").select("node", "component_id"), "named")
     return rows.join(labelled, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
