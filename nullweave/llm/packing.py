@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import batch, table, text_map
-from .kernel import BYTE_POLY, BYTE_TABLE, Chunk, ragged
+from .kernel import BYTE_POLY, BYTE_TABLE, U64, Chunk, ragged
 
 # Fixed value: the published split pattern of this family of byte-level tokenizers.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
+#: Bytes that may begin a white space of several bytes.
+WIDE = np.zeros(256, bool)
+WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 32
 #: The program ends within this share of its bound, or after so many phases.
@@ -73,26 +76,44 @@ class Encoder:
         self.encode = tiktoken.Encoding("local", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.added = {x["content"].encode(): x["id"] for x in model.get("added_tokens", [])}
         self.find_added = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        for k, v in ranks.items():
+            self.width[v] = len(k)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.check = np.zeros(1024, np.uint64)
-        self.begin = np.zeros(1025, np.int64)
-        self.ids = np.zeros(8192, np.uint32)
-        self.n = 0
-
-    def add(self, word: bytes, check: int) -> int:
-        ids = [self.added[word]] if word in self.added else self.encode(word.decode())
-        if self.n + 1 >= len(self.check):
-            self.check, self.begin = np.resize(self.check, 2 * len(self.check)), np.resize(self.begin, 2 * len(self.begin))
-        stop = self.begin[self.n] + len(ids)
-        if stop > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * stop)
-        self.ids[self.begin[self.n] : stop] = ids
-        self.check[self.n], self.begin[self.n + 1] = check, stop
-        self.n += 1
-        return self.n - 1
+        self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)  # first hash, sorted, and the row it stands in
+        self.check = np.zeros(0, U64)  # second hash of each row
+        self.begin = np.zeros(1, np.int64)  # where a row's ids begin
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Encode cuts of the data and remember them; their rows.
+
+        Cuts that begin with a space before and end with a character that is no white space are encoded as one text,
+        as a new token begins at each such space; the tokens' bytes tell which cut each is of."""
+        second, last = data[np.minimum(start + 1, len(data) - 1)], data[end - 1]
+        plain = (end - start > 3) & (data[start] == 32) & (second > 32) & ~WIDE[second] & (last > 32)
+        plain &= (data[np.maximum(end - 2, 0)] != 0xC2) & ~WIDE[data[np.maximum(end - 3, 0)]]
+        ids, counts = [], []
+        if plain.any():
+            a, size = start[plain], (end - start)[plain]
+            stop = np.cumsum(size)
+            text = data[np.repeat(a - (stop - size), size) + np.arange(stop[-1])].tobytes()
+            ids.append(np.array(self.encode(text.decode()), np.uint32))
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[0]]), stop) + 1, prepend=0))
+        others = np.flatnonzero(~plain)
+        raw = data.tobytes() if len(others) else b""
+        for k in others.tolist():
+            word = raw[start[k] : end[k]]
+            ids.append(np.array([self.added[word]] if word in self.added else self.encode(word.decode()), np.uint32))
+            counts.append([len(ids[-1])])
+        rows = np.empty(len(start), np.int64)
+        rows[np.concatenate([np.flatnonzero(plain), others])] = len(self.check) + np.arange(len(start))
+        self.check = np.append(self.check, np.concatenate([check[plain], check[others]]))
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.concatenate(counts)))
+        self.ids = np.concatenate([self.ids, *ids])
+        return rows
 
     def cut_added(self, raw: bytes, off: np.ndarray, cut: np.ndarray) -> None:
         """Cut before and after each added token of the vocabulary, nowhere within; one that two documents make together is none."""
@@ -109,13 +130,13 @@ class Encoder:
 
     def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of the chunk, and their offsets."""
-        if self.n > CACHE_WORDS:
+        if len(self.check) > CACHE_WORDS:
             self.clear()
         data, off = chunk.data, chunk.offsets
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(chunk.n + 1, np.int64)
         pad = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)])
-        wide = np.isin(pad, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8))  # may begin a white space of several bytes
+        wide = WIDE[pad]
         cut = (data == 32) & (pad[2:-2] > 32) & (pad[4:] > 32) & ~wide[4:] & ~(pad[1:-3] == 0xC2) & ~(wide[:-4] & (pad[:-4] != 0xC2))
         cut[off[:-1][off[:-1] < len(data)]] = True
         raw = data.tobytes()
@@ -124,16 +145,18 @@ class Encoder:
         end = np.append(start[1:], len(data))
         h, g = (BYTE_POLY[f].runs(BYTE_TABLE[f][data], start, end) for f in (0, 1))
         values, first, which = np.unique(h, return_index=True, return_inverse=True)
-        index = np.empty(len(values), np.int64)
-        checks = g[first]
-        for k, (value, a, check) in enumerate(zip(values.tolist(), first.tolist(), checks.tolist())):
-            i = self.at.get(value, -1)
-            if i < 0 or self.check[i] != check:
-                i = self.at[value] = self.add(raw[start[a] : end[a]], check)
-            index[k] = i
+        at = np.searchsorted(self.known, values)
+        index = np.append(self.slot, -1)[at]
+        there = np.append(self.known, U64(0))[at] == values
+        there &= np.append(self.check, U64(0))[index] == g[first]
+        new = np.flatnonzero(~there)
+        if len(new):
+            index[new] = self.add(data, start[first[new]], end[first[new]], g[first[new]])
+            self.known, self.slot = np.insert(self.known, at[new], values[new]), np.insert(self.slot, at[new], index[new])
         row = index[which]
-        for k in np.flatnonzero(self.check[row] != g):  # equal in one hash only
-            row[k] = self.add(raw[start[k] : end[k]], int(g[k]))
+        odd = np.flatnonzero(self.check[row] != g)  # equal in one hash only
+        if len(odd):
+            row[odd] = self.add(data, start[odd], end[odd], g[odd])
         size = self.begin[row + 1] - self.begin[row]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.begin[row] - total[:-1], size)]
