@@ -23,6 +23,7 @@ from ..operators import bipartite as bip
 from ..operators import sequences as seq
 from ..operators import whole_graph as wg
 from ..sources import networks
+from . import solved
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -376,41 +377,73 @@ def information_criteria(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, loglikelihood double, aic double, aicc double, bic double, residual double, relative_residual double")
 
 
-@query()
+CRITERIA = {
+    "ubcm": ("(SELECT 1)", "(SELECT sum(k * ln(x)) FROM xn) - (SELECT sum(ln(1 - p)) / -2 FROM p)", "count(*) FROM ku", "count(*) * (count(*) - 1) / 2 FROM ku"),
+}
+CRITERIA_D = {"dbcm": ("(SELECT 1)", "(SELECT sum(k_out * ln(x) + k_in * ln(y)) FROM xn) + (SELECT sum(ln(1 - p)) FROM p)", "2 * count(*) FROM kd", "count(*) * (count(*) - 1) FROM kd")}
+CRITERIA_B = {"bicm": ("(SELECT 1)", "(SELECT sum(k * ln(x)) FROM (SELECT * FROM xb UNION ALL SELECT * FROM xt)) - (SELECT sum(ln(1 + xb.x * xt.x)) FROM xb, xt)", "(SELECT count(*) FROM kb) + (SELECT count(*) FROM kt)", "(SELECT count(*) FROM kb) * (SELECT count(*) FROM kt)")}
+TIGHT = {"maxiters": 20000, "ftol": 1e-12}
+
+
+def criteria(name: str, m: Model) -> DataFrame:
+    rows = [(name, m.loglikelihood(), m.AIC(), m.AICc(), m.BIC())]
+    out = m.sequence.sparkSession.createDataFrame(rows, "model string, loglikelihood double, aic double, aicc double, bic double")
+    return rounded(out, 4, "loglikelihood", "aic", "aicc", "bic")
+
+
+@query(solved.ubcm(SUCC) + solved.criteria(CRITERIA))
+def criteria_ubcm(spark, sf_dir):
+    return criteria("ubcm", UBCM.from_graph(succ_und(spark, sf_dir)).solve(**TIGHT))
+
+
+@query(solved.dbcm(SUCC) + solved.criteria(CRITERIA_D))
+def criteria_dbcm(spark, sf_dir):
+    return criteria("dbcm", DBCM.from_graph(succ(spark, sf_dir)).solve(**TIGHT))
+
+
+@query(solved.bicm(BI) + solved.criteria(CRITERIA_B))
+def criteria_bicm(spark, sf_dir):
+    return criteria("bicm", BiCM.from_graph(sup_cust(spark, sf_dir)).solve(**TIGHT))
+
+
+@query(solved.significance_ubcm(SUCC))
 def significance_ubcm(spark, sf_dir):
     g = succ_und(spark, sf_dir)
-    m = UBCM.from_graph(g).solve()
+    m = UBCM.from_graph(g).solve(**TIGHT)
     seen = wg.wedges(g).crossJoin(wg.triangles(g)).first()
     rows = [(x, float(seen[x]), m.expectation(x), m.sigma(x)) for x in ("wedges", "triangles")]
-    return spark.createDataFrame(rows, "metric string, obs double, mu double, sigma double").withColumn("z", F.when(F.col("sigma") > 0, (F.col("obs") - F.col("mu")) / F.col("sigma")))
+    out = spark.createDataFrame(rows, "metric string, obs double, mu double, sigma double").withColumn("z", F.when(F.col("sigma") > 0, (F.col("obs") - F.col("mu")) / F.col("sigma")))
+    return rounded(out, 4, "mu", "sigma", "z")
 
 
-@query()
+@query(solved.significance_annd(SUCC))
 def significance_annd(spark, sf_dir):
     g = succ_und(spark, sf_dir)
-    m = UBCM.from_graph(g).solve()
+    m = UBCM.from_graph(g).solve(**TIGHT)
     mu, sigma = m.expectation("annd"), ex.neighbour_degree_deviation(m.pairs["p"], m.f, m.pairs["var"])
     table = spark.createDataFrame([(k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(mu, sigma))], "cls int, mu double, sigma double")
-    return seq.neighbour_degree(g).join(m.members.select("id", "cls"), "id").join(F.broadcast(table), "cls").select("id", F.col("annd").alias("obs"), "mu", "sigma", ((F.col("annd") - F.col("mu")) / F.col("sigma")).alias("z"))
+    out = seq.neighbour_degree(g).join(m.members.select("id", "cls"), "id").join(F.broadcast(table), "cls").select("id", F.col("annd").alias("obs"), "mu", "sigma", ((F.col("annd") - F.col("mu")) / F.col("sigma")).alias("z"))
+    return rounded(rounded(out, 4, "obs", "mu", "sigma"), 3, "z")
 
 
 def triad_significance(spark, g: Graph, m: Model) -> DataFrame:
     mu = m.expectation("motifs")
     sigma = [m.sigma(f"M{k}") for k in wg.TRIADS] if "p_fwd" not in m.pairs else [None] * 13
     table = spark.createDataFrame([(k, float(e), s) for k, e, s in zip(wg.TRIADS, mu, sigma)], "motif int, mu double, sigma double")
-    return wg.triad_census(g).join(F.broadcast(table), "motif").select("motif", F.col("value").alias("obs"), "mu", "sigma", F.when(F.col("sigma") > 0, (F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"))
+    out = wg.triad_census(g).join(F.broadcast(table), "motif").select("motif", F.col("value").alias("obs"), "mu", "sigma", F.when(F.col("sigma") > 0, (F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"))
+    return rounded(out, 3, "obs", "mu", "sigma", "z")
 
 
-@query()
+@query(solved.triads(solved.dbcm(SUCC), triad_sql("count", 3), True))
 def triad_significance_dbcm(spark, sf_dir):
     g = succ(spark, sf_dir)
-    return triad_significance(spark, g, DBCM.from_graph(g).solve(maxiters=5000))
+    return triad_significance(spark, g, DBCM.from_graph(g).solve(**TIGHT))
 
 
-@query()
+@query(solved.triads(solved.rbcm(SUCC), triad_sql("count", 3), False))
 def triad_expectation_rbcm(spark, sf_dir):
     g = succ(spark, sf_dir)
-    return triad_significance(spark, g, RBCM.from_graph(g).solve(maxiters=5000))
+    return triad_significance(spark, g, RBCM.from_graph(g).solve(**TIGHT))
 
 
 @query()
@@ -421,24 +454,23 @@ def flux_expectation_dcrem(spark, sf_dir):
     return wg.triad_census(g, "flux").join(F.broadcast(table), "motif").select("motif", F.col("value").alias("obs"), "mu")
 
 
-@query()
-def squares_expectation_karate(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(networks.KARATE_DEGREES, 1)), "id long, k long")
-    m = UBCM(rows).solve()
-    return scalars(spark, {x: m.expectation(x) for x in ("edges", "wedges", "triangles", "squares")})
+@query(solved.squares_ubcm(SUCC))
+def squares_expectation(spark, sf_dir):
+    m = UBCM.from_graph(succ_und(spark, sf_dir)).solve(**TIGHT)
+    return rounded(scalars(spark, {x: m.expectation(x) for x in ("edges", "wedges", "triangles", "squares")}), 2, "value")
 
 
-@query()
+@query(solved.reciprocity_dbcm(SUCC))
 def reciprocity_dbcm(spark, sf_dir):
-    m = DBCM.from_graph(succ(spark, sf_dir)).solve(maxiters=5000)
-    return scalars(spark, {"expected": m.expectation("reciprocity"), "sigma": m.sigma("reciprocity")})
+    m = DBCM.from_graph(succ(spark, sf_dir)).solve(**TIGHT)
+    return rounded(scalars(spark, {"expected": m.expectation("reciprocity"), "sigma": m.sigma("reciprocity")}), 7, "value")
 
 
-@query()
+@query(solved.vn(BI))
 def vn_expectation(spark, sf_dir):
-    m = BiCM.from_graph(sup_cust(spark, sf_dir)).solve(maxiters=5000)
+    m = BiCM.from_graph(sup_cust(spark, sf_dir)).solve(**TIGHT)
     rows = [(layer, n, how, *map(float, projection.expected_vn(m, n, layer, how))) for layer in ("bottom",) for n in (2, 3) for how in ("exact", "delta")]
-    return spark.createDataFrame(rows, "layer string, n int, method string, mu double, sigma double")
+    return rounded(spark.createDataFrame(rows, "layer string, n int, method string, mu double, sigma double"), 4, "mu", "sigma")
 
 
 @query(BI + "SELECT x.bottom AS src, y.bottom AS dst, CAST(count(*) AS BIGINT) AS w FROM b x JOIN b y ON x.top = y.top AND x.bottom < y.bottom GROUP BY 1, 2")
@@ -448,15 +480,21 @@ def tested_pairs(spark, sf_dir):
     return projection.validated_projection(m, all_pairs=True).where("p between 0 and 1 and p_adjusted >= p").select("src", "dst", "w")
 
 
-@query()
+def tested(spark, sf_dir, distribution: str) -> DataFrame:
+    m = BiCM.from_graph(sup_cust(spark, sf_dir)).solve(**TIGHT)
+    out = projection.validated_projection(m, distribution=distribution, alpha=0.05, all_pairs=True)
+    return rounded(rounded(out.select("src", "dst", "w", "p", "p_adjusted"), 7, "p"), 6, "p_adjusted")
+
+
+@query(solved.projection(BI, False))
 def validated_projection(spark, sf_dir):
-    return projection.validated_projection(BiCM.from_graph(sup_cust(spark, sf_dir)).solve(maxiters=5000), alpha=0.05)
+    """Every tested pair with its chance: the ones below a level are the validated projection at this level."""
+    return tested(spark, sf_dir, "poisson")
 
 
-@query()
+@query(solved.projection(BI, True))
 def validated_projection_exact(spark, sf_dir):
-    m = BiCM.from_graph(sup_cust(spark, sf_dir)).solve(maxiters=5000)
-    return projection.validated_projection(m, distribution="poisson_binomial", alpha=0.05)
+    return tested(spark, sf_dir, "poisson_binomial")
 
 
 # Samples
