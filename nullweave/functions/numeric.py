@@ -78,19 +78,19 @@ def exponential(u: Column, rate: Column) -> Column:
 METHODS = ("bh", "by", "bonferroni", "holm", "none")
 
 
-def adjusted(df: DataFrame, p: str = "p", out: str = "p_adjusted", method: str = "bh", slices: int = 4096) -> DataFrame:
+def adjusted(df: DataFrame, p: str = "p", out: str = "p_adjusted", method: str = "bh", slices: int = 256) -> DataFrame:
     """``df`` with p-values adjusted for multiple testing over all of its rows.
 
-    Only distinct p-values and how often they occur are ordered.  Ranks come from two levels: the unit interval is cut
-    into ``slices`` of the order-preserving value, whose sums (one row each) are accumulated first, so no task orders all
-    rows."""
+    Only distinct p-values and how often they occur are ordered.  Ranks come from two levels: the distinct values are cut
+    into ``slices`` at their quantiles, whose sums (one row each) are accumulated first, so each task orders about an
+    equal part of them, whatever their distribution."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if method == "none":
         return df.withColumn(out, F.col(p))
     values = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    # Slices by the magnitude of p, so that small values spread over many slices.
-    values = values.withColumn("_s", F.when(F.col("_p") <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.lit(slices) + F.floor(F.log2("_p") * 4)).cast("int")))
+    cuts = values.agg(F.expr(f"percentile_approx(_p, array({', '.join(str(k / slices) for k in range(1, slices))}), 10000)").alias("_cuts"))
+    values = values.crossJoin(F.broadcast(cuts)).withColumn("_s", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
     sums = values.groupBy("_s").agg(F.sum("_n").alias("_m"))
     order = Window.orderBy("_s")
     sums = sums.select("_s", (F.sum("_m").over(order) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_total"))

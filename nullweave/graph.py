@@ -6,6 +6,11 @@ src < dst.  Bipartite graphs have explicit layers, so no colouring is needed.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -92,21 +97,54 @@ def bipartite(links: DataFrame, bottom: str = "bottom", top: str = "top", bottom
     return Bipartite(e, bottoms, tops)
 
 
-def two_coloured(graph: Graph, rounds: int = 200) -> Bipartite:
-    """Layers of an undirected graph without layer columns: each node's colour is its distance's parity from the smallest
-    node of its part.  Raises if an edge joins equal colours."""
-    both = graph.both.select("src", "dst")
-    state = graph.nodes.select("id", F.col("id").alias("root"), F.lit(0).alias("colour"))
-    before = None
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the folder that the cluster shares (``spark.checkpoint.dir``): cuts lineage, survives lost
+    executors.  Without that setting only a master within this process has such a folder."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='nullweave-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    path = f"{path.rstrip('/')}/nullweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def two_coloured(graph: Graph, rounds: int = 100) -> Bipartite:
+    """Layers of an undirected graph without layer columns: each node's colour is its distance's parity from the root of
+    its part.  Raises if an edge joins equal colours.
+
+    Parts are contracted: every root hooks onto the smallest root beside it, with the parity of the way there, and ways are
+    halved until each node knows its root; what is left is the graph of roots.  After a round only roots without a
+    smaller neighbour are left, so a long path takes about as many rounds as its length has digits.  It ends when no
+    edge joins two roots, and raises if that is not reached."""
+    state = kept(graph.nodes.select("id", F.col("id").alias("root"), F.lit(0).alias("colour")), "colours")
+    edges = graph.both.select("src", "dst")
     for _ in range(rounds):
-        offers = both.join(state, both.src == state.id).select(F.col("dst").alias("id"), "root", (1 - F.col("colour")).alias("colour"))
-        state = state.union(offers).groupBy("id").agg(F.min(F.struct("root", "colour")).alias("s")).select("id", "s.root", "s.colour").checkpoint()
-        now = state.agg(F.sum("root"), F.sum(F.col("colour") * F.col("id"))).first()
-        if now == before:
+        ends = edges.join(state.toDF("src", "ra", "ca"), "src").join(state.toDF("dst", "rb", "cb"), "dst")
+        # Between two roots one way is enough: an odd circle shows at the end, whichever way was taken.
+        ways = kept(ends.where("ra <> rb").groupBy("ra", "rb").agg(F.min((F.col("ca") + F.col("cb") + 1) % 2).alias("turn")), "ways")
+        if not ways.head(1):
             break
-        before = now
-    a, b = state.toDF("src", "ra", "ca"), state.toDF("dst", "rb", "cb")
-    marked = graph.edges.join(a, "src").join(b, "dst")
+        # A smaller root beside it, else (in turn, so that no two hook onto each other) none: its neighbours hook onto it.
+        up = kept(ways.where("rb < ra").groupBy("ra").agg(F.min(F.struct("rb", "turn")).alias("w")).select(F.col("ra").alias("root"), F.col("w.rb").alias("parent"), F.col("w.turn").alias("turn")), "hooks")
+        while True:
+            far = up.alias("a").join(up.alias("b"), F.expr("a.parent = b.root"), "left")
+            up = kept(far.select("a.root", F.coalesce("b.parent", "a.parent").alias("parent"), F.expr("(a.turn + coalesce(b.turn, 0)) % 2").alias("turn"), F.col("b.root").isNotNull().alias("moved")), "hooks")
+            done = not up.where("moved").head(1)
+            up = up.drop("moved")
+            if done:
+                break
+        state = kept(state.join(up, "root", "left").select("id", F.coalesce("parent", "root").alias("root"), ((F.col("colour") + F.coalesce("turn", F.lit(0))) % 2).alias("colour")), "colours")
+    else:
+        raise RuntimeError(f"colours did not settle in {rounds} rounds")
+    # The smallest node of each part has colour 0.
+    low = kept(state.groupBy("root").agg(F.min(F.struct("id", "colour"))["colour"].alias("flip")), "flips")
+    state = kept(state.join(low, "root").select("id", ((F.col("colour") + F.col("flip")) % 2).alias("colour")), "colours")
+    marked = graph.edges.join(state.toDF("src", "ca"), "src").join(state.toDF("dst", "cb"), "dst")
     if marked.where("ca = cb").head(1):
         raise ValueError("the graph is not bipartite")
     links = marked.select(F.when(F.col("ca") == 0, F.col("src")).otherwise(F.col("dst")).alias("bottom"), F.when(F.col("ca") == 0, F.col("dst")).otherwise(F.col("src")).alias("top"))

@@ -327,14 +327,13 @@ def degrees_by_pairs_ubcm(spark, sf_dir):
 @query(SUCC + "SELECT round(count(back) / count(*), 6) AS reciprocity FROM r")
 def expected_reciprocity_rbcm(spark, sf_dir):
     m = RBCM.from_graph(succ(spark, sf_dir)).solve(maxiters=5000)
-    d = m.dyads().agg((F.sum("p_rec") / F.sum("p")).alias("reciprocity"))
-    return rounded(d, 6, "reciprocity")
+    return spark.createDataFrame([(round(float(m.expectation("reciprocity")), 6),)], "reciprocity double")
 
 
 @query(SUCC + "SELECT round(sum(CASE WHEN back IS NOT NULL THEN w ELSE 0 END) / sum(w), 5) AS weighted_reciprocity FROM r")
 def expected_weighted_reciprocity_crwcm(spark, sf_dir):
     m = CRWCM.from_graph(succ(spark, sf_dir)).solve(maxiters=5000)
-    return rounded(m.dyads().agg((F.sum("w_rec") / F.sum("w")).alias("weighted_reciprocity")), 5, "weighted_reciprocity")
+    return spark.createDataFrame([(round(float(m.expectation("weighted_reciprocity")), 5),)], "weighted_reciprocity double")
 
 
 def scalars(spark: SparkSession, rows: dict[str, float]) -> DataFrame:
@@ -516,6 +515,44 @@ def sample_bicm(spark, sf_dir):
     return sampling.sample(BiCM.from_graph(sup_cust(spark, sf_dir)).solve(maxiters=5000), 3, seed=7)
 
 
+def kept_sums(name: str, m: Model, links: float, weight: float | None = None, n: int = 8) -> tuple:
+    """Whether the mean number of links of n samples is within six deviations of what the model keeps (at most two links a pair, so
+    twice the number of links bounds the variance), and their mean weight within a tenth."""
+    s = sampling.sample(m, n, seed=11)
+    got = s.agg(F.count("*").alias("l"), F.count_distinct(F.struct(*s.columns[:3])).alias("d"), *([F.sum("w").alias("w")] if weight else [])).first()
+    close = got["l"] == got["d"] and abs(got["l"] / n - links) <= 6 * (2 * links / n) ** 0.5
+    return name, int(links), bool(close and (not weight or abs(got["w"] / n / weight - 1) <= 0.1))
+
+
+def of_kinds(*kinds: type[Model]):
+    """Samples of models of the successor graph reproduce its links and weight."""
+
+    def run(spark, sf_dir):
+        und, dire = succ_und(spark, sf_dir), succ(spark, sf_dir)
+        rows = []
+        for model in kinds:
+            g = und if model in (UBCM, UECM, CReM) else dire
+            links, weight = (float(x) for x in g.edges.agg(F.count("*"), F.sum("w")).first())
+            m = model.from_graph(g).solve(maxiters=5000)
+            rows.append(kept_sums(model.__name__.lower(), m, links, weight if m.weighted else None))
+        return spark.createDataFrame(rows, "model string, links long, kept boolean")
+
+    run.__name__ = "samples_keep_sums_" + "_".join(k.__name__.lower() for k in kinds)
+    both = [f"SELECT '{k.__name__.lower()}' AS model, CAST(count(*) AS BIGINT) AS links, TRUE AS kept FROM {'u' if k in (UBCM, UECM, CReM) else 'e'}" for k in kinds]
+    return query(SUCC + " UNION ALL ".join(both))(run)
+
+
+of_kinds(UBCM, DBCM, RBCM)
+of_kinds(CReM, DCReM, CRWCM)
+of_kinds(UECM, DECM)
+
+
+@query(BI + "SELECT 'bicm' AS model, CAST(count(*) AS BIGINT) AS links, TRUE AS kept FROM b")
+def samples_keep_sums_bicm(spark, sf_dir):
+    g = sup_cust(spark, sf_dir)
+    return spark.createDataFrame([kept_sums("bicm", BiCM.from_graph(g).solve(maxiters=5000), float(g.edges.count()))], "model string, links long, kept boolean")
+
+
 @query()
 def triad_zscores_by_sampling(spark, sf_dir):
     g = networks.maspalomas(spark)
@@ -572,3 +609,14 @@ def poisson_tails(spark, sf_dir):
     q = read(spark, sf_dir, "lineitem").select("l_quantity").distinct()
     k = F.floor(F.col("l_quantity").cast("long") / 3) + 1
     return rounded(q.select("l_quantity", numeric.poisson_tail(k, F.col("l_quantity") / 4).alias("tail")), 7, "tail")
+
+
+# Tails of sums of independent trials of unequal chances: nations of a region with a customer share, at least two of them
+TRIALS = "SELECT n_regionkey AS region, (n_nationkey + 1) / 30.0 AS p FROM nation"
+
+
+@query(f"WITH t AS ({TRIALS}) SELECT region, round(1 - exp(sum(ln(1 - p))), 9) AS one, round(1 - exp(sum(ln(1 - p))) * (1 + sum(p / (1 - p))), 9) AS two, round(exp(sum(ln(p))), 9) AS every FROM t GROUP BY region")
+def poisson_binomial_tails(spark, sf_dir):
+    t = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list((F.col("n_nationkey") + 1) / 30.0).alias("p"))
+    tail = lambda k: numeric.poisson_binomial_tail(k, F.col("p"))
+    return rounded(t.select("region", tail(F.lit(1)).alias("one"), tail(F.lit(2)).alias("two"), tail(F.size("p")).alias("every")), 9, "one", "two", "every")

@@ -110,13 +110,52 @@ def test_small_bipartite(spark):
     with pytest.raises(DomainError):
         BiCM.from_graph(g)
     two_coloured_graph = from_edges(spark.createDataFrame([(1, 4), (2, 4), (2, 5), (3, 5)], "src long, dst long"), False)
-    spark.sparkContext.setCheckpointDir("/tmp/nullweave-test-checkpoint")
     b = two_coloured(two_coloured_graph)
     assert {r.id for r in b.bottoms.collect()} in ({1, 2, 3}, {4, 5})
     with pytest.raises(ValueError):
         two_coloured(from_edges(spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long"), False))
 
 
+@pytest.mark.parametrize("order", ["ids in order", "ids mixed"])
+def test_two_colouring_of_long_paths_and_rings(spark, order):
+    """Far more hops than rounds; parts of all kinds; one odd ring anywhere is found."""
+    name = (lambda k: k) if order == "ids in order" else (lambda k: k * 7919 % 10007)
+    path = [(name(k), name(k + 1)) for k in range(500)]
+    ring = [(name(2000 + k), name(2000 + (k + 1) % 400)) for k in range(400)]
+    star = [(name(5000), name(5001 + k)) for k in range(50)]
+    b = two_coloured(from_edges(spark.createDataFrame(path + ring + star, "src long, dst long"), False))
+    low, high = ({r.id for r in x.collect()} for x in (b.bottoms, b.tops))
+    assert len(low) + len(high) == 501 + 400 + 51 and not low & high
+    for part in (path, ring, star):
+        nodes = {x for e in part for x in e}
+        assert min(nodes) in low and all((x in low) != (y in low) for x, y in part)
+    assert b.edges.count() == len(path + ring + star) and b.edges.join(b.bottoms, b.edges.bottom == b.bottoms.id).count() == b.edges.count()
+    odd = [(name(8000 + k), name(8000 + (k + 1) % 301)) for k in range(301)]
+    with pytest.raises(ValueError):
+        two_coloured(from_edges(spark.createDataFrame(path + odd, "src long, dst long"), False))
+
+
+def test_samples_draw_links_not_pairs(spark):
+    """100,000 nodes: no cross join in the plan, and as many links as expected, all distinct and none to itself."""
+    seq = spark.range(100_000).select("id", F.when(F.col("id") % 1000 == 0, 300).otherwise(1 + F.col("id") % 7).cast("long").alias("k"))
+    m = UBCM(seq).solve()
+    s = sampling.sample(m, 2, seed=5)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    n, distinct, wrong = s.agg(F.count("*"), F.countDistinct("sample_id", "src", "dst"), F.sum((F.col("src") >= F.col("dst")).cast("int"))).first()
+    assert n == distinct and not wrong and abs(n / 2 - m.expectation("edges")) < 6 * m.sigma("edges") / math.sqrt(2)
+    k = s.select("sample_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count().where("id % 1000 = 0").agg(F.avg("count")).first()[0]
+    assert abs(k / 2 - 300) < 6
+
+
+def test_numbers_of_pairs():
+    a, b = sampling.unordered(np.arange(10_000))
+    assert [(int(x), int(y)) for x, y in zip(a, b)] == [(x, y) for y in range(1, 142) for x in range(y)][:10_000]
+    far = np.array([2**52 - 1, 2**52, 2**52 + 1])
+    a, b = sampling.unordered(far)
+    assert (b * (b - 1) // 2 + a == far).all() and (a < b).all() and (a >= 0).all()
+
+
 def random_digraph(n, p, seed):
     rnd = random.Random(seed)
     return {(i, j): rnd.randint(1, 9) for i in range(n) for j in range(n) if i != j and rnd.random() < p}
