@@ -2,6 +2,7 @@ import importlib.util
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nullweave.llm.decontaminate import plain
@@ -83,6 +84,50 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a), (2, b), (3, c), (4, ""), (4, None), (None, a)], key=repr)
 
 
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (None, None)]
+
+
+def test_stages_with_odd_rows_and_columns(spark):
+    """Nulls, short texts, repeated rows, repeated and null ids, a very long text, clashing columns, no n_chars."""
+    import random
+
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    a, b, passage = text(80), text(90), text(60)
+    long = text(40_000)
+    kept = [(10, a), (11, b), (11, passage + " " + text(50)), (12, text(70) + " " + passage), (None, b), (13, long)]
+    data = ODD + kept + [(10, a), (14, a), (15, long)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for c, v in {"id": "x", "th": 1, "cell": 2.0, "size": None, "node": "n", "spans": 3, "hist": 4, "row": 5, "length": 6, "offset": 7, "kept": True}.items():
+        df = df.withColumn(c, F.lit(v) if v is not None else F.lit(None).cast("string"))
+    docs, out = df.repartition(3), {}
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        out[name] = docs.collect()
+        if name != "best-fit packing":
+            assert docs.columns == df.columns
+    first = {(r.doc_id, r.text) for r in out["quality rules"]}
+    assert first == set(kept + [(14, a), (15, long)])
+    second = sorted(((r.doc_id, r.text) for r in out["n-gram Jaccard join"]), key=repr)
+    assert second == sorted(kept, key=repr)
+    third = {r.doc_id: r.text for r in out["substring dedup"] if r.doc_id == 12}
+    assert third[12] == " ".join(kept[3][1].split()[:70])
+    assert len(out["benchmark decontamination"]) == len(out["substring dedup"]) == 6
+    packed = out["best-fit packing"]
+    assert {r.doc_id for r in packed} == {None, 10, 11, 12, 13} and max(r.piece for r in packed) > 10
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
 def test_entry_without_operators():
     """The entry module alone holds the guard."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
