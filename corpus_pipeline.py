@@ -1,7 +1,11 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a frame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever else these hold.
+
+Defined cases: rows with a null, empty or very short text are rejected by the quality rules; rows with a null id stay
+until they are packed, but name no group and are no source of passages; equal rows of id and text are one, rows of one
+id with different texts are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,10 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a smaller document has go; a document that loses all its words goes."""
+    """Words of passages that a smaller document has go; a document that loses all its words goes.  ``n_chars``, where the
+    table has it, is that of the text that stays."""
     out = remove_repeats(docs).where("dedup_removed = 0 or dedup_removed < dedup_words")
     cut = F.col("dedup_removed") > 0
     out = out.withColumn("text", F.when(cut, F.col("dedup_text")).otherwise(F.col("text")))
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     return out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
