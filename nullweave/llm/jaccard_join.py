@@ -48,7 +48,8 @@ PART = 64
 BINS = 128
 
 
-def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(chunk: Chunk, n: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' sets of shingle hashes: sorted, or in the order of the ``rank`` of their hash classes."""
     _, _, off = chunk.words
     words = chunk.word_hashes(0, lower=True)
     size = np.diff(off)
@@ -56,7 +57,14 @@ def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     goff = np.concatenate([[0], np.cumsum(count)])
     start = np.arange(goff[-1]) + np.repeat(off[:-1] - goff[:-1], count)
     length = np.repeat(np.minimum(size, n), count)
-    return distinct_sorted(WORD_POLY[0].runs(words, start, start + length), goff)
+    return distinct_sorted(WORD_POLY[0].runs(words, start, start + length), goff, rank, CLASS_BITS)
+
+
+def class_ranks(counts: np.ndarray) -> np.ndarray:
+    """The order of the hash classes, rare first."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    return rank
 
 
 def digests(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -80,12 +88,9 @@ def groups_of(size: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, off: np.ndarray, counts: np.ndarray, often: int, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, their document rows, and their reach."""
-    doc = owners(off)
-    bucket = (values >> U64(64 - CLASS_BITS)).astype(np.int64)
-    freq = counts[bucket]
-    order = np.lexsort((values, freq, doc))
-    v, freq = values[order], freq[order]
+    """Signatures, their document rows, and their reach, of sets in the order of ``class_ranks``."""
+    doc, v = owners(off), values
+    freq = counts[(v >> U64(64 - CLASS_BITS)).astype(np.int64)]
     size = np.diff(off)
     rank = np.arange(len(v)) - off[:-1][doc]
     reach = size[doc] - rank
@@ -184,11 +189,12 @@ def jaccard_classes(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(
     counts = np.zeros(1 << CLASS_BITS, np.int64)
     counts[seen["bucket"].to_numpy()] = seen["seen"].to_numpy()
     often = int(2 * np.median(counts)) + 64
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, class_ranks(counts)))
 
     def sign(rows: pa.RecordBatch, chunk: Chunk) -> pa.RecordBatch:
-        v, off = shingle_sets(chunk, n)
-        sig, doc, reach = signatures(v, off, shared.value, often, t)
+        counts, rank = shared.value
+        v, off = shingle_sets(chunk, n, rank)
+        sig, doc, reach = signatures(v, off, counts, often, t)
         return batch(sig=signed(sig), node=signed(digests(v, off)[0])[doc], size=np.diff(off)[doc].astype(np.int32), reach=reach.astype(np.int32))
 
     signed_rows = text_map(keyed.select("text"), sign, "sig long, node long, size int, reach int")

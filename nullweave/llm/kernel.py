@@ -144,14 +144,32 @@ def ngram_positions(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return pos, off
 
 
-def distinct_sorted(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's values, sorted and without repeats."""
+def distinct_sorted(values: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's values without repeats, sorted, or in the order of the ``rank`` of their upper ``bits`` and then sorted.
+
+    Row, rank and as many further bits of the value as there is room for are one integer that is sorted at once; where two
+    different values agree in it, the slower sort by all keys decides."""
     row = owners(offsets)
-    order = np.lexsort((values, row))
-    v, r = values[order], row[order]
-    keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    v, r = v[keep], r[keep]
+    n = U64(max(1, (len(offsets) - 1).bit_length()))
+    key = row.astype(U64) << (U64(64) - n)
+    if rank is None:
+        key |= values >> n
+        keys = (values, row)
+    else:
+        of = rank[(values >> U64(64 - bits)).astype(np.int64)]
+        key |= of.astype(U64) << (U64(64 - bits) - n) | (values & U64((1 << (64 - bits)) - 1)) >> n
+        keys = (values, of, row)
+    order = np.argsort(key)
+    v, k = values[order], key[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    if (new[1:] & (k[1:] == k[:-1])).any():
+        order = np.lexsort(keys)
+        v = values[order]
+        new[1:] = v[1:] != v[:-1]
+    r = row[order]
+    new[1:] |= r[1:] != r[:-1]
+    v, r = v[new], r[new]
     return v, np.searchsorted(r, np.arange(len(offsets)))
 
 

@@ -274,6 +274,22 @@ def test_kernel_words_and_hashes(odd):
     assert h[0] == h[2] == h[5] and h[1] == h[3] == h[4] and h[0] != h[1]
 
 
+@pytest.mark.parametrize("ranked", [False, True])
+def test_distinct_sorted(ranked):
+    """Also where values differ in their lowest bits only."""
+    rnd = np.random.default_rng(7)
+    bits = 4
+    near = kernel.mix(np.arange(6, dtype=np.uint64))[:, None] ^ np.arange(4, dtype=np.uint64)[None, :]
+    for pool in (near.ravel(), kernel.mix(np.arange(40, dtype=np.uint64))):
+        off = np.concatenate([[0], np.cumsum(rnd.integers(0, 30, 50))])
+        values = rnd.choice(pool, off[-1])
+        rank = rnd.permutation(1 << bits) if ranked else None
+        got, at = kernel.distinct_sorted(values, off, rank, bits)
+        for k in range(50):
+            place = (lambda x: (rank[int(x) >> (64 - bits)], x)) if ranked else (lambda x: x)
+            assert got[at[k] : at[k + 1]].tolist() == sorted(set(values[off[k] : off[k + 1]].tolist()), key=place)
+
+
 def test_sliding_argmin():
     keys = kernel.mix(np.arange(500, dtype=np.uint64) // np.uint64(3))
     got = kernel.sliding_argmin(keys, 26)
