@@ -50,6 +50,12 @@ class Kernel:
             full[~self.live] = np.inf
         return np.split(full, len(self.channels))
 
+    def logs(self, u: Array) -> list[Array]:
+        """Logarithms of the fitnesses, which do not overflow where these do; dead ones are minus infinity."""
+        full = np.full(len(self.flat), -np.inf)
+        full[self.live] = -u
+        return np.split(full, len(self.channels))
+
     def expected(self, u: Array) -> Array:
         return np.concatenate(self.sums(*self.split(u)))
 
@@ -96,6 +102,12 @@ class Kernel:
         raise NotImplementedError
 
 
+def share(z: Array) -> Array:
+    """z / (1 + z), also where z is infinite."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        return np.where(np.real(z) > 1, 1 / (1 + 1 / z), z / (1 + np.where(np.real(z) > 1, 0, z)))
+
+
 def degree_start(kind: str, d: Array, links: float, n: float, seed: int) -> Array:
     if kind == "degrees":
         return -np.log(d)
@@ -115,11 +127,11 @@ class UBCM(Kernel):
 
     def sums(self, x):
         z = np.outer(x, x)
-        return [others(z / (1 + z), self.f)]
+        return [others(share(z), self.f)]
 
     def loglikelihood(self, u):
-        (x,) = self.split(u)
-        return self.linear(u) - pair_sum(np.log1p(np.outer(x, x)), self.f, False)
+        (x,) = self.logs(u)
+        return self.linear(u) - pair_sum(np.logaddexp(0, np.add.outer(x, x)), self.f, False)
 
     def start(self, kind="degrees", seed=0):
         return degree_start(kind, self.flat[self.live], float(self.f @ self.c["k"]) / 2, self.n, seed)
@@ -127,7 +139,7 @@ class UBCM(Kernel):
     def pairs(self, u):
         (x,) = self.split(u)
         z = np.outer(x, x)
-        p = z / (1 + z)
+        p = share(z)
         return {"p": p, "var": p * (1 - p), "cov": p * (1 - p)}
 
 
@@ -136,12 +148,12 @@ class DBCM(Kernel):
 
     def sums(self, x, y):
         z = np.outer(x, y)
-        p = z / (1 + z)
+        p = share(z)
         return [others(p, self.f), others(p.T, self.f)]
 
     def loglikelihood(self, u):
-        x, y = self.split(u)
-        return self.linear(u) - pair_sum(np.log1p(np.outer(x, y)), self.f, True)
+        x, y = self.logs(u)
+        return self.linear(u) - pair_sum(np.logaddexp(0, np.add.outer(x, y)), self.f, True)
 
     def start(self, kind="degrees", seed=0):
         return degree_start(kind, self.flat[self.live], float(self.f @ self.c["k_out"]), self.n, seed)
@@ -149,7 +161,7 @@ class DBCM(Kernel):
     def pairs(self, u):
         x, y = self.split(u)
         z = np.outer(x, y)
-        p = z / (1 + z)
+        p = share(z)
         return {"p": p, "var": p * (1 - p), "cov": np.zeros_like(p)}
 
 
@@ -159,16 +171,19 @@ class RBCM(Kernel):
     @staticmethod
     def states(x, y, z):
         a, b, c = np.outer(x, y), np.outer(y, x), np.outer(z, z)
-        d = 1 + a + b + c
-        return a / d, b / d, c / d, 1 / d
+        # Relative to the largest weight, so that their sum does not overflow.
+        top = np.maximum(1, np.maximum(np.real(a), np.maximum(np.real(b), np.real(c))))
+        a, b, c, none = a / top, b / top, c / top, 1 / top
+        d = none + a + b + c
+        return a / d, b / d, c / d, none / d
 
     def sums(self, x, y, z):
         fwd, bwd, rec, _ = self.states(x, y, z)
         return [others(m, self.f) for m in (fwd, bwd, rec)]
 
     def loglikelihood(self, u):
-        x, y, z = self.split(u)
-        d = np.log1p(np.outer(x, y) + np.outer(y, x) + np.outer(z, z))
+        x, y, z = self.logs(u)
+        d = np.logaddexp(np.logaddexp(0, np.add.outer(x, y)), np.logaddexp(np.add.outer(y, x), np.add.outer(z, z)))
         return self.linear(u) - pair_sum(d, self.f, False)
 
     def start(self, kind="degrees", seed=0):
@@ -191,14 +206,14 @@ class BiCM(Kernel):
 
     def sums(self, x):
         z = np.outer(x[~self.top], x[self.top])
-        p = z / (1 + z)
+        p = share(z)
         out = np.zeros(self.k, z.dtype)
         out[~self.top], out[self.top] = p @ self.f[self.top], p.T @ self.f[~self.top]
         return [out]
 
     def loglikelihood(self, u):
-        (x,) = self.split(u)
-        m = np.log1p(np.outer(x[~self.top], x[self.top]))
+        (x,) = self.logs(u)
+        m = np.logaddexp(0, np.add.outer(x[~self.top], x[self.top]))
         return self.linear(u) - float(self.f[~self.top] @ m @ self.f[self.top])
 
     def start(self, kind="degrees", seed=0):
@@ -216,7 +231,7 @@ class BiCM(Kernel):
         """Bottom classes x top classes."""
         (x,) = self.split(u)
         z = np.outer(x[~self.top], x[self.top])
-        p = z / (1 + z)
+        p = share(z)
         return {"p": p, "var": p * (1 - p)}
 
 

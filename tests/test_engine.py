@@ -273,6 +273,29 @@ def test_solvers_agree(spark, karate, method):
     assert np.allclose(a.pairs["p"], b.pairs["p"], atol=1e-5)
 
 
+def test_kernels_far_out():
+    """Extreme multipliers, on the way of a solver: finite likelihoods, chances within [0, 1]."""
+    from nullweave.models import kernels
+
+    f, k = np.array([3.0, 2.0, 1.0]), np.array([1.0, 2.0, 4.0])
+    for kernel, columns in ((kernels.UBCM, {"k": k}), (kernels.DBCM, {"k_out": k, "k_in": k}), (kernels.RBCM, {"k_out": k, "k_in": k, "k_rec": k})):
+        p = kernel(columns, f)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for u in (-360.0, -30.0, 0.0, 400.0):
+                at = np.full(len(p.flat), u)
+                assert np.isfinite(p.loglikelihood(at)) and np.isfinite(p.expected(np.full(len(p.flat), max(u, -340.0)))).all()
+        for u in (0.3, -2.0):
+            at = u + 0.1 * np.arange(len(p.flat))
+            x = np.exp(-at).reshape(len(p.channels), 3)
+            pairs = {"UBCM": lambda: np.outer(x[0], x[0]), "DBCM": lambda: np.outer(x[0], x[1]), "RBCM": lambda: np.outer(x[0], x[1]) + np.outer(x[1], x[0]) + np.outer(x[2], x[2])}[kernel.__name__]()
+            each = np.log1p(pairs)
+            total = (f @ each @ f - f @ np.diagonal(each)) / (1 if p.directed and kernel is kernels.DBCM else 2)
+            assert np.isclose(p.loglikelihood(at), -(np.tile(f, len(p.channels)) * p.flat) @ at - total)
+    m = kernels.UBCM({"k": k}, f)
+    with np.errstate(over="ignore"):
+        assert (m.pairs(np.full(3, -400.0))["p"] == 1).all() and (m.pairs(np.full(3, 400.0))["p"] == 0).all()
+
+
 def test_starts(spark, karate):
     for kind in ("degrees", "degrees_minor", "random", "uniform", "chung_lu"):
         assert np.allclose(UBCM(karate.sequence).solve(initial=kind).theta, karate.theta, atol=1e-6)
