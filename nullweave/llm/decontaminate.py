@@ -14,6 +14,7 @@ each; null ids are reported as null; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,10 +220,10 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def match(rows: pa.RecordBatch, chunk: Chunk, shared=shared) -> pa.RecordBatch | None:
-            matcher = _matcher(shared, rate)
+        def match(rows: pa.RecordBatch, chunk: Chunk, shared=shared, name=name) -> pa.RecordBatch | None:
+            matcher = _matcher(shared, name, rate)
             hits = [(k, *h) for k, text in enumerate(chunk.texts()) for h in matcher(plain(text))]
             if not hits:
                 return None
@@ -236,10 +237,10 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns; one map for each block of items, no join."""
     for block in item_blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(rows: pa.RecordBatch, chunk: Chunk, shared=shared) -> pa.RecordBatch:
-            matcher = _matcher(shared, rate)
+        def clean(rows: pa.RecordBatch, chunk: Chunk, shared=shared, name=name) -> pa.RecordBatch:
+            matcher = _matcher(shared, name, rate)
             return rows.filter(pa.array(np.array([not matcher(plain(text)) for text in chunk.texts()], bool)))
 
         docs = text_map(docs, clean, docs.schema, text_col)
@@ -249,10 +250,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, tex
 _kept: dict = {}
 
 
-def _matcher(shared, rate: float) -> Matcher:
-    """Built once for each Python worker and block."""
-    key = (shared._jid if hasattr(shared, "_jid") else id(shared), rate, len(shared.value))
-    if key not in _kept:
+def _matcher(shared, name: str, rate: float) -> Matcher:
+    """Built once for each Python worker and block; ``name`` is the block's own, as a worker serves many of them."""
+    if name not in _kept:
         _kept.clear()
-        _kept[key] = Matcher(shared.value, rate)
-    return _kept[key]
+        _kept[name] = Matcher(shared.value, rate)
+    return _kept[name]

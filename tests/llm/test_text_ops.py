@@ -242,6 +242,24 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {k for k, _ in want})
 
 
+def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
+    """Items in many blocks give the rows that one block gives; an item far inside a very long text is found there."""
+    from nullweave.llm import decontaminate as module
+
+    rnd = random.Random(9)
+    words = lambda n: " ".join(f"{rnd.choice('bcdfgklm')}{rnd.choice('aeiou')}{rnd.choice('nrst')}{rnd.randrange(90)}" for _ in range(n))
+    items = [(k, words(rnd.randint(8, 40))) for k in range(15)]
+    long = words(120_000)
+    docs = [(k, f"{words(10)} {text} {words(5)}") for k, text in items] + [(50, long + " " + items[3][1].replace("a", "o", 2) + " " + words(20_000)), (51, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = rows(find_items(frame(spark, docs), bench))
+    monkeypatch.setattr(module, "BLOCK_CHARS", 200)
+    assert len(list(module.item_blocks(bench, "item_id", "text"))) > 5
+    assert rows(find_items(frame(spark, docs), bench)) == one and {(k, k) for k in range(15)} <= {r[:2] for r in one}
+    assert [(r[0], r[1], r[2]) for r in one if r[0] == 50] == [(50, 3, len(long) + 1)]
+    assert [r.doc_id for r in drop_contaminated(frame(spark, docs), bench).collect()] == [51]
+
+
 def test_url_filters(spark):
     urls = ["http://example.com/en/", "https://WWW.Example.com/en/x?y#z", "ftp://a.b.net/es/1", "http://net/fr/", "http://com", "http://com?x/", "example.com/en/", None, "", "://", "http://x.com#/en/", "http://example.com/EN/", "http://notexample.com/en/a", "http://a.example.com:80/en/", "x://y://com/", "http://ü.net/fr/é\nb", "http://b.net/frx"]
     pages = [(k, u) for k, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0]), (0, urls[0])]
@@ -257,6 +275,8 @@ def test_empty_tables(spark):
     assert remove_repeats(none).count() == jaccard_join(none).count() == quality_rules(none).count() == 0
     assert packing.pack_documents(none, queries.tokenizer_path()).count() == 0
     assert find_items(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    pages, rules = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    assert filter_urls(pages, rules).count() == filter_urls(pages, rules.limit(0)).count() == 0
 
 
 def test_kernel_words_and_hashes(odd):
