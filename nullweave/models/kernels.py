@@ -32,6 +32,7 @@ class Kernel:
     method = "fixedpoint"
     # Number of parameters for each node, and whether a pair counts once or twice, for information criteria.
     per_node = 1
+    halved = True  # the likelihood takes each unordered pair once
 
     def __init__(self, c: dict[str, Array], f: Array):
         self.c = {k: np.asarray(c[k], float) for k in self.channels}
@@ -62,6 +63,17 @@ class Kernel:
     def sums(self, *x: Array) -> list[Array]:
         raise NotImplementedError
 
+    @staticmethod
+    def cross(a: list[Array], b: list[Array]) -> list[Array]:
+        """Expected constraints of pairs, a matrix (classes ``a`` x classes ``b``) for each channel, from the fitnesses of both; for
+        conditional models those of the links come first."""
+        raise NotImplementedError
+
+    @staticmethod
+    def cross_log(a: list[Array], b: list[Array]) -> list[Array]:
+        """The matrix that the likelihood sums over pairs."""
+        raise NotImplementedError
+
     def update(self, u: Array) -> Array:
         e = self.expected(u)[self.live]
         return u + np.log(e) - np.log(self.flat[self.live])
@@ -108,6 +120,15 @@ def share(z: Array) -> Array:
         return np.where(np.real(z) > 1, 1 / (1 + 1 / z), z / (1 + np.where(np.real(z) > 1, 0, z)))
 
 
+def log_links(*terms: tuple[Array, Array]) -> Array:
+    """-log(1 + sum of products of fitnesses), without overflow."""
+    out = np.zeros((len(terms[0][0]), len(terms[0][1])))
+    with np.errstate(divide="ignore"):
+        for x, y in terms:
+            out = np.logaddexp(out, np.add.outer(np.log(x), np.log(y)))
+    return -out
+
+
 def degree_start(kind: str, d: Array, links: float, n: float, seed: int) -> Array:
     if kind == "degrees":
         return -np.log(d)
@@ -129,6 +150,14 @@ class UBCM(Kernel):
         z = np.outer(x, x)
         return [others(share(z), self.f)]
 
+    @staticmethod
+    def cross(a, b):
+        return [share(np.outer(a[0], b[0]))]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_links((a[0], b[0]))]
+
     def loglikelihood(self, u):
         (x,) = self.logs(u)
         return self.linear(u) - pair_sum(np.logaddexp(0, np.add.outer(x, x)), self.f, False)
@@ -144,13 +173,21 @@ class UBCM(Kernel):
 
 
 class DBCM(Kernel):
-    channels, per_node = ("k_out", "k_in"), 2
+    channels, per_node, halved = ("k_out", "k_in"), 2, False
 
     def sums(self, x, y):
         z = np.outer(x, y)
         p = share(z)
         return [others(p, self.f), others(p.T, self.f)]
 
+    @staticmethod
+    def cross(a, b):
+        return [share(np.outer(a[0], b[1])), share(np.outer(a[1], b[0]))]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_links((a[0], b[1]))]
+
     def loglikelihood(self, u):
         x, y = self.logs(u)
         return self.linear(u) - pair_sum(np.logaddexp(0, np.add.outer(x, y)), self.f, True)
@@ -169,8 +206,9 @@ class RBCM(Kernel):
     channels, per_node = ("k_out", "k_in", "k_rec"), 3
 
     @staticmethod
-    def states(x, y, z):
-        a, b, c = np.outer(x, y), np.outer(y, x), np.outer(z, z)
+    def states(x, y, z, to=None):
+        x2, y2, z2 = to or (x, y, z)
+        a, b, c = np.outer(x, y2), np.outer(y, x2), np.outer(z, z2)
         # Relative to the largest weight, so that their sum does not overflow.
         top = np.maximum(1, np.maximum(np.real(a), np.maximum(np.real(b), np.real(c))))
         a, b, c, none = a / top, b / top, c / top, 1 / top
@@ -181,6 +219,14 @@ class RBCM(Kernel):
         fwd, bwd, rec, _ = self.states(x, y, z)
         return [others(m, self.f) for m in (fwd, bwd, rec)]
 
+    @staticmethod
+    def cross(a, b):
+        return list(RBCM.states(*a, to=b)[:3])
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_links((a[0], b[1]), (a[1], b[0]), (a[2], b[2]))]
+
     def loglikelihood(self, u):
         x, y, z = self.logs(u)
         d = np.logaddexp(np.logaddexp(0, np.add.outer(x, y)), np.logaddexp(np.add.outer(y, x), np.add.outer(z, z)))
@@ -211,6 +257,15 @@ class BiCM(Kernel):
         out[~self.top], out[self.top] = p @ self.f[self.top], p.T @ self.f[~self.top]
         return [out]
 
+    @staticmethod
+    def cross(a, b):
+        """The layer of each class comes before its fitness."""
+        return [share(np.outer(a[1], b[1])) * (a[0][:, None] != b[0])]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_links((a[1], b[1])) * (a[0][:, None] != b[0])]
+
     def loglikelihood(self, u):
         (x,) = self.logs(u)
         m = np.logaddexp(0, np.add.outer(x[~self.top], x[self.top]))
@@ -240,7 +295,8 @@ class _Enhanced(Kernel):
 
     method = "BFGS"
 
-    def parts(self, a, b):
+    @staticmethod
+    def parts(a, b):
         """Chance and mean weight from the sums of multipliers of a pair: a for the link, b for its weight."""
         y, one = np.exp(-b), -np.expm1(-b)
         z = np.exp(-a) * y
@@ -274,14 +330,27 @@ class _Enhanced(Kernel):
         return out
 
 
+    @classmethod
+    def linked(cls, a, b):
+        """The parts of pairs whose sums of multipliers are ``a`` and ``b``; 0 where no link can be."""
+        off = ~np.isfinite(np.real(a))
+        return [np.where(off, 0, m) for m in cls.parts(a, b)]
+
+
 class UECM(_Enhanced):
     channels, directed, per_node = ("k", "s"), False, 2
 
     def all(self, u):
         a, b = self.split(u)
-        z, p, w, y = self.parts(self.plus(a, a), self.plus(b, b))
-        off = ~np.isfinite(np.real(self.plus(a, a)))
-        return [np.where(off, 0, m) for m in (z, p, w, y)]
+        return self.linked(self.plus(a, a), self.plus(b, b))
+
+    @staticmethod
+    def cross(a, b):
+        return UECM.linked(UECM.plus(a[0], b[0]), UECM.plus(a[1], b[1]))[1:3]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [-np.log1p(UECM.linked(UECM.plus(a[0], b[0]), UECM.plus(a[1], b[1]))[0])]
 
     def expected(self, u):
         _, p, w, _ = self.all(u)
@@ -302,13 +371,21 @@ class UECM(_Enhanced):
 
 
 class DECM(_Enhanced):
-    channels, per_node = ("k_out", "k_in", "s_out", "s_in"), 4
+    channels, per_node, halved = ("k_out", "k_in", "s_out", "s_in"), 4, False
 
     def all(self, u):
         ao, ai, bo, bi = self.split(u)
-        z, p, w, y = self.parts(self.plus(ao, ai), self.plus(bo, bi))
-        off = ~np.isfinite(np.real(self.plus(ao, ai)))
-        return [np.where(off, 0, m) for m in (z, p, w, y)]
+        return self.linked(self.plus(ao, ai), self.plus(bo, bi))
+
+    @staticmethod
+    def cross(a, b):
+        _, p, w, _ = DECM.linked(DECM.plus(a[0], b[1]), DECM.plus(a[2], b[3]))
+        _, p_in, w_in, _ = DECM.linked(DECM.plus(a[1], b[0]), DECM.plus(a[3], b[2]))
+        return [p, p_in, w, w_in]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [-np.log1p(DECM.linked(DECM.plus(a[0], b[1]), DECM.plus(a[2], b[3]))[0])]
 
     def expected(self, u):
         _, p, w, _ = self.all(u)
@@ -348,6 +425,14 @@ class CReM(Kernel):
     def sums(self, t):
         return [others(over(self.p, t[:, None] + t), self.f)]
 
+    @staticmethod
+    def cross(a, b):
+        return [over(*UBCM.cross(a, b), a[1][:, None] + b[1])]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_rate(*UBCM.cross(a, b), a[1][:, None] + b[1])]
+
     def loglikelihood(self, u):
         (t,) = self.split(u)
         return self.linear(u) + pair_sum(log_rate(self.p, t[:, None] + t), self.f, False)
@@ -363,12 +448,21 @@ class CReM(Kernel):
 
 
 class DCReM(CReM):
-    channels, directed, per_node = ("s_out", "s_in"), True, 2
+    channels, directed, per_node, halved = ("s_out", "s_in"), True, 2, False
 
     def sums(self, o, i):
         m = over(self.p, o[:, None] + i)
         return [others(m, self.f), others(m.T, self.f)]
 
+    @staticmethod
+    def cross(a, b):
+        p, p_in = DBCM.cross(a, b)
+        return [over(p, a[2][:, None] + b[3]), over(p_in, a[3][:, None] + b[2])]
+
+    @staticmethod
+    def cross_log(a, b):
+        return [log_rate(share(np.outer(a[0], b[1])), a[2][:, None] + b[3])]
+
     def loglikelihood(self, u):
         o, i = self.split(u)
         return self.linear(u) + pair_sum(log_rate(self.p, o[:, None] + i), self.f, True)
@@ -385,7 +479,7 @@ class DCReM(CReM):
 class CRWCM(CReM):
     """Two channels: links without an opposite one, and links with one."""
 
-    channels, directed, per_node = ("s_out", "s_in", "s_rec_out", "s_rec_in"), True, 4
+    channels, directed, per_node, halved = ("s_out", "s_in", "s_rec_out", "s_rec_in"), True, 4, False
 
     def rates_of(self, u):
         o, i, ro, ri = self.split(u)
@@ -395,6 +489,17 @@ class CRWCM(CReM):
         a, b = over(self.binary["p_fwd"], o[:, None] + i), over(self.binary["p_rec"], ro[:, None] + ri)
         return [others(m, self.f) for m in (a, a.T, b, b.T)]
 
+    @staticmethod
+    def cross(a, b):
+        fwd, bwd, rec, _ = RBCM.states(*a[:3], to=b[:3])
+        (o, i, ro, ri), (o2, i2, ro2, ri2) = a[3:], b[3:]
+        return [over(fwd, o[:, None] + i2), over(bwd, i[:, None] + o2), over(rec, ro[:, None] + ri2), over(rec, ri[:, None] + ro2)]
+
+    @staticmethod
+    def cross_log(a, b):
+        fwd, _, rec, _ = RBCM.states(*a[:3], to=b[:3])
+        return [log_rate(fwd, a[3][:, None] + b[4]) + log_rate(rec, a[5][:, None] + b[6])]
+
     def loglikelihood(self, u):
         a, b = self.rates_of(u)
         return self.linear(u) + pair_sum(log_rate(self.binary["p_fwd"], a), self.f, True) + pair_sum(log_rate(self.binary["p_rec"], b), self.f, True)

@@ -1,8 +1,9 @@
 """Models on Spark: constraints are reduced to classes by DataFrame aggregates, the likelihood is solved on the driver over the
 class table, and parameters go back as DataFrames.
 
-Only the class table reaches the driver.  Its size is checked (``MAX_CLASSES``), because the solve is quadratic in it;
-it does not grow with the nodes but with the distinct constraint tuples.
+Only the class table reaches the driver.  It does not grow with the nodes but with the distinct constraint tuples.  Up to
+``MAX_CLASSES`` of them the driver pairs classes as matrices; beyond, Spark tasks make the same sums (``blocks.py``), up to the
+bound that ``blocks.FIELDS_BYTES`` gives.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from ..errors import ConvergenceError, DomainError, ModelWarning, StateError
 from ..graph import Bipartite, Graph
 from ..operators import bipartite as bip
 from ..operators import sequences as seq
+from . import blocks, kernels, solvers
 from . import expectations as ex
-from . import kernels, solvers
 
 MAX_CLASSES = 6000
 METHODS = ("fixedpoint", "BFGS", "L-BFGS", "LBFGS", "Newton")
@@ -46,6 +47,8 @@ class Model:
         self.f = c["f"].to_numpy().astype(float)
         self.columns = {k: c[k].to_numpy().astype(float) for k in self.keys}
         self.n_nodes = int(self.f.sum())
+        # Whether class pairs are summed by Spark tasks instead of matrices of the driver.
+        self.large = len(self.f) > MAX_CLASSES
         self.problem = self._problem()
         self.theta: np.ndarray | None = None
 
@@ -57,15 +60,25 @@ class Model:
 
     @cached_property
     def class_rows(self):
-        rows = self.classes.limit(MAX_CLASSES + 1).toPandas()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} distinct constraint tuples; round the strengths")
+        """The classes, at most as many as their fitnesses may fill a broadcast: a row is at least three numbers of eight bytes."""
+        most = blocks.FIELDS_BYTES // 24
+        rows = self.classes.limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} distinct constraint tuples")
         return rows.sort_values("cls").reset_index(drop=True)
 
+    def spread(self, kernel: kernels.Kernel, binary: list[np.ndarray] | None = None) -> kernels.Kernel:
+        """The kernel itself, or its form for many classes."""
+        return blocks.Blocks(kernel, self.sequence.sparkSession, binary) if kernel.k > MAX_CLASSES else kernel
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """A table of a row a class, marked for broadcast only where it is small."""
+        return table if self.large else F.broadcast(table)
+
     @cached_property
     def members(self) -> DataFrame:
         """id, constraints, cls."""
-        return seq.class_of(self.sequence, F.broadcast(self.classes), *self.keys)
+        return seq.class_of(self.sequence, self.small(self.classes), *self.keys)
 
     def __len__(self) -> int:
         return len(self.f)
@@ -74,7 +87,7 @@ class Model:
         return f"{type(self).__name__}({self.n_nodes} nodes, {len(self)} classes, compression {1 - len(self) / max(1, self.n_nodes):.1%})"
 
     def _problem(self) -> kernels.Kernel:
-        return self.kernel(self.columns, self.f)
+        return self.spread(self.kernel(self.columns, self.f))
 
     # Validation
     def _check(self) -> None:
@@ -106,7 +119,9 @@ class Model:
         return self.problem.start(method, seed) if method else self.problem.start()
 
     def solve(self, method: str | None = None, initial: str | None = None, maxiters: int = 1000, ftol: float | None = None, g_tol: float = 1e-8, memory: int = 8, seed: int = 0) -> Model:
-        """``fixedpoint`` (``ftol`` bounds the last step), BFGS, L-BFGS or Newton (``g_tol`` bounds the gradient)."""
+        """``fixedpoint`` (``ftol`` bounds the last step), BFGS, L-BFGS or Newton (``g_tol`` bounds the gradient).
+
+        BFGS and Newton hold a matrix of all parameters, so more than ``MAX_CLASSES`` classes take the fixed point or L-BFGS."""
         method = method or self.problem.method
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
@@ -115,6 +130,8 @@ class Model:
         if method == "fixedpoint" and self.kernel in (kernels.UECM, kernels.DECM):
             warn("the fixed point of this model is not stable; BFGS is")
         p = self.problem
+        if self.large and method in ("BFGS", "Newton"):
+            raise ValueError(f"{method} holds a matrix of all parameters; use L-BFGS or fixedpoint for {len(self)} classes")
         start = self.initial_guess(initial, seed)
         if not len(start):
             self.theta, self.iterations = start, 0
@@ -173,6 +190,10 @@ class Model:
                 return out.withColumnsRenamed({"k_out": "k", "s_out": "s"})
             back = d.groupBy(F.col("j").alias("id")).agg(F.sum("p").alias("k_in"), *([F.sum("w").alias("s_in")] if self.weighted else []))
             return out.join(back, "id")
+        if self.large:
+            rows = self._expected_rows()
+            spark = self.sequence.sparkSession
+            return self.members.select("id", "cls").join(spark.createDataFrame(rows), "cls").drop("cls")
         rows = self.class_rows[["cls"]].copy()
         sides = [("", lambda m: m)] if not self.problem.directed else [("_out", lambda m: m), ("_in", lambda m: m.T)]
         for side, turn in sides:
@@ -185,6 +206,21 @@ class Model:
         spark = self.sequence.sparkSession
         return self.members.select("id", "cls").join(F.broadcast(spark.createDataFrame(rows)), "cls").drop("cls")
 
+    def _expected_rows(self):
+        """cls and the columns of ``expected_sequences`` from the sums of the constraints alone, without class pairs."""
+        rows = self.class_rows[["cls"]].copy()
+        for name, part in self._sums().items():
+            rows[name] = part
+        if self.kernel in (kernels.RBCM, kernels.CRWCM):
+            rows = rows.assign(k_out_single=rows.k_out, k_in_single=rows.k_in, k_out=rows.k_out + rows.k_rec, k_in=rows.k_in + rows.k_rec)
+        if self.kernel is kernels.CRWCM:
+            rows = rows.assign(s_out=rows.s_out + rows.s_rec_out, s_in=rows.s_in + rows.s_rec_in).drop(columns=["s_rec_out", "s_rec_in"])
+        return rows
+
+    def _sums(self) -> dict[str, np.ndarray]:
+        """The expected constraints of a node of each class."""
+        return dict(zip(self.problem.channels, np.split(self.problem.expected(self._need()), len(self.problem.channels))))
+
     def constraint_residual(self, relative: bool = False) -> float:
         """Largest difference of an expected and an observed constraint; relative ones leave out constraints of 0."""
         miss = np.abs(np.real(self.problem.expected(self._need())) - self.problem.flat)
@@ -376,19 +412,28 @@ class _TwoStep(Model):
 
     def solve(self, method=None, initial=None, maxiters=1000, ftol=None, g_tol=1e-8, memory=8, seed=0, conditional: dict | None = None) -> Model:
         """``conditional`` holds the options of the binary step."""
-        first = self.binary.kernel({k: self.columns[k] for k in self.binary.keys}, self.f)
+        # The links depend on the degrees alone: their model has a class for each distinct tuple of degrees.
+        degrees, self.first_class = np.unique(np.stack([self.columns[k] for k in self.binary.keys]), axis=1, return_inverse=True)
+        first = self.spread(self.binary.kernel(dict(zip(self.binary.keys, degrees)), np.bincount(self.first_class, self.f)))
         options = {"ftol": 1e-8, "maxiters": 1000, "memory": 8} | {k: v for k, v in (conditional or {}).items() if k in ("ftol", "maxiters", "memory")}
         start = first.start((conditional or {}).get("initial", "degrees"))
         u = solvers.fixed_point(first.update, start, **options)[0] if (conditional or {}).get("method", "fixedpoint") == "fixedpoint" else solvers.quasi_newton(first.value, first.gradient, start)[0]
         self.first, self.first_theta = first, u
         self.status["conditional_params_computed"] = True
-        pairs = first.pairs(u)
-        self.problem = self.kernel(self.columns, self.f, pairs["p"], pairs)
+        if self.large:
+            self.problem = self.spread(self.kernel(self.columns, self.f, None), [x[self.first_class] for x in first.split(u)])
+        else:
+            pairs = {name: m[np.ix_(self.first_class, self.first_class)] for name, m in first.pairs(u).items()}
+            self.problem = self.kernel(self.columns, self.f, pairs["p"], pairs)
         for ks, kk in self.twins:
             if ((self.columns[ks] == 0) != (self.columns[kk] == 0)).any():
                 raise DomainError("a strength is 0 where the degree is not, or the other way round")
         return super().solve(method, initial, maxiters, ftol, g_tol, memory, seed)
 
+    def _sums(self):
+        binary = np.split(self.first.expected(self.first_theta), len(self.first.channels))
+        return {k: e[self.first_class] for k, e in zip(self.first.channels, binary)} | super()._sums()
+
 
 class CReM(_TwoStep):
     kernel, binary, keys, twins = kernels.CReM, UBCM, ("k", "s"), (("s", "k"),)
@@ -435,7 +480,7 @@ class BiCM(Model):
         return cls(both[0].union(both[1]), graph)
 
     def _problem(self):
-        return kernels.BiCM({"k": self.columns["k"]}, self.f, self.columns["layer"] == 1)
+        return self.spread(kernels.BiCM({"k": self.columns["k"]}, self.f, self.columns["layer"] == 1), [self.columns["layer"]])
 
     def _check_domain(self, q, n):
         s = {r["layer"]: r for r in self.sequence.groupBy("layer").agg(F.count("*").alias("n"), F.max("k").alias("top"), F.sum("k").alias("links")).collect()}
@@ -473,7 +518,7 @@ class BiCM(Model):
             d = self.dyads()
             return d.groupBy(F.col("i").alias("id")).agg(F.sum("p").alias("k")).withColumn("layer", F.lit("bottom")).union(d.groupBy(F.col("j").alias("id")).agg(F.sum("p").alias("k")).withColumn("layer", F.lit("top")))
         e = self.expected().select("cls", F.col("expected_k").alias("e"))
-        return self.members.join(F.broadcast(e), "cls").select("id", F.col("e").alias("k"), F.when(F.col("layer") == 0, "bottom").otherwise("top").alias("layer"))
+        return self.members.join(self.small(e), "cls").select("id", F.col("e").alias("k"), F.when(F.col("layer") == 0, "bottom").otherwise("top").alias("layer"))
 
     def sigma_v_motifs(self, layer: str = "bottom") -> float:
         """Delta-method deviation of the summed shared neighbours of a layer."""

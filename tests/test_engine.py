@@ -10,7 +10,7 @@ from nullweave.errors import DomainError, ModelWarning, StateError
 from nullweave.functions import numeric
 from nullweave.graph import Graph, bipartite, from_edges, successors, two_coloured
 from nullweave.models import expectations as ex
-from nullweave.models import projection, sampling
+from nullweave.models import blocks, model, projection, sampling
 from nullweave.models.model import BiCM, CRWCM, CReM, DBCM, DCReM, DECM, RBCM, UBCM, UECM
 from nullweave.operators import bipartite as bip
 from nullweave.operators import sequences as seq
@@ -442,3 +442,51 @@ def test_graph_builders(spark):
     d = from_edges(spark.createDataFrame(rows, "src long, dst long"), True)
     assert d.edges.count() == 3 and d.undirected().edges.count() == 2
     assert column(seq.degrees(Graph(spark.range(1, 7), g.edges, False)), "k") == [1, 1, 1, 1, 0, 0]
+
+
+def weighted_network(spark, nodes=40):
+    """Whole weights that differ from node to node; some nodes have no link one way or both."""
+    rng = np.random.default_rng(5)
+    rows = [(i, j, float(rng.integers(1, 9))) for i in range(1, nodes - 2) for j in range(1, nodes - 1) if i != j and rng.random() < 0.15 + 0.3 * (i + j) / (2 * nodes)]
+    return from_edges(spark.createDataFrame(rows, "src long, dst long, w double"), True, spark.range(1, nodes + 1), weight="w")
+
+
+@pytest.mark.parametrize("kind", [UBCM, DBCM, RBCM, UECM, DECM, CReM, DCReM, CRWCM, BiCM])
+def test_many_classes_give_the_same_model(spark, monkeypatch, kind):
+    """Sums by blocks equal those by matrices at the solution, and the step from there too."""
+    g = networks.corporate_club(spark) if kind is BiCM else weighted_network(spark)
+    whole = kind.from_graph(g).solve(maxiters=5000, **({"method": "L-BFGS", "g_tol": 1e-6} if kind in (UECM, DECM) else {"ftol": 1e-10}))
+    monkeypatch.setattr(model, "MAX_CLASSES", 3)
+    monkeypatch.setattr(blocks, "CELLS", 256)
+    parts = kind.from_graph(g)
+    if issubclass(kind, model._TwoStep):
+        parts.first, parts.first_theta, parts.first_class = whole.first, whole.first_theta, whole.first_class
+        parts.problem = parts.spread(parts.kernel(parts.columns, parts.f, None), [x[whole.first_class] for x in whole.first.split(whole.first_theta)])
+    parts.theta = whole.theta
+    assert isinstance(parts.problem, blocks.Blocks) and parts.large and not whole.large
+    away = whole.theta * (1.01 if kind in (UECM, DECM) else 0.9)
+    for u in (whole.theta, away):
+        assert np.allclose(parts.problem.expected(u), whole.problem.expected(u), rtol=1e-9, atol=1e-12)
+        assert np.isclose(parts.problem.loglikelihood(u), whole.problem.loglikelihood(u), rtol=1e-9)
+    assert np.isclose(parts.AIC(), whole.AIC(), rtol=1e-9)
+    a, b = (m.expected_sequences().toPandas() for m in (parts, whole))
+    keys = ["layer", "id"] if kind is BiCM else ["id"]
+    assert set(a.columns) == set(b.columns)
+    a, b = (x.sort_values(keys).reset_index(drop=True)[sorted(a.columns)] for x in (a, b))
+    for c in a.columns:
+        assert (a[c] == b[c]).all() if c in keys else np.allclose(a[c], b[c], rtol=1e-9), c
+    with pytest.raises(ValueError):
+        parts.pairs
+    with pytest.raises(ValueError):
+        parts.solve(method="Newton")
+
+
+def test_many_classes_solve(spark, monkeypatch):
+    """Both steps of a conditional model by blocks, from the start."""
+    g = weighted_network(spark, 24).undirected()
+    whole = CReM.from_graph(g).solve(maxiters=5000)
+    monkeypatch.setattr(model, "MAX_CLASSES", 3)
+    monkeypatch.setattr(blocks, "CELLS", 256)
+    parts = CReM.from_graph(g).solve(maxiters=5000, ftol=1e-5, conditional={"ftol": 1e-5})
+    assert isinstance(parts.first, blocks.Blocks) and isinstance(parts.problem, blocks.Blocks)
+    assert np.allclose(parts.theta, whole.theta, atol=1e-3) and parts.constraint_residual(relative=True) < 1e-4
