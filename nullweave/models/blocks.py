@@ -50,7 +50,9 @@ class Blocks(kernels.Kernel):
         k, width = self.k, 1 if logs else len(self.channels)
         step = max(1, CELLS // k)
         blocks = -(-k // step)
-        sent = self.spark.sparkContext.broadcast((type(self.inner), [*self.binary_fields, *self.split(u)], self.f))
+        fields = [*self.binary_fields, *self.split(u)]
+        imaginary = np.iscomplexobj(u)
+        sent = self.spark.sparkContext.broadcast((type(self.inner), fields, self.f))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kernel, fields, f = sent.value
@@ -60,13 +62,17 @@ class Blocks(kernels.Kernel):
                     rows, own = [x[lo:hi] for x in fields], np.arange(hi - lo)
                     with np.errstate(all="ignore"):
                         parts = kernel.cross_log(rows, fields) if logs else kernel.cross(rows, fields)
+                    for m in parts:  # A class of one node has no pair of its own.
+                        m[own, lo + own] = np.where(f[lo:hi] == 1, 0, m[own, lo + own])
                     out = [m @ f - m[own, lo + own] for m in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(lo + own), *map(pa.array, out)], names=["at", *[f"v{c}" for c in range(width)]])
+                    out = [x for m in out for x in ((m.real.copy(), m.imag.copy()) if imaginary else (m,))]
+                    yield pa.RecordBatch.from_arrays([pa.array(lo + own), *map(pa.array, out)], names=["at", *[f"v{c}" for c in range(len(out))]])
 
-        schema = "at long, " + ", ".join(f"v{c} double" for c in range(width))
+        schema = "at long, " + ", ".join(f"v{c} double" for c in range(width * (1 + imaginary)))
         try:
             tasks = min(blocks, 4 * self.spark.sparkContext.defaultParallelism)
             got = self.spark.range(0, blocks, 1, tasks).mapInArrow(sums, schema).toPandas().sort_values("at")
         finally:
             sent.destroy()
-        return got.drop(columns="at").to_numpy()
+        got = got.drop(columns="at").to_numpy()
+        return got[:, ::2] + 1j * got[:, 1::2] if imaginary else got

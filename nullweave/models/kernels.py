@@ -5,7 +5,8 @@ expected constraints of a node of each class, the log-likelihood, and the closed
 with every other node, so sums over partners weigh class s by f[s] and leave out the node itself once.
 
 Parameters: binary and whole-number models have multipliers theta with fitness exp(-theta); a constraint of 0 has
-fitness 0 exactly ("dead").  Conditional models have positive rates, one for each live strength.
+fitness 0 exactly ("dead").  Conditional models have rates, one for each live strength; one may be negative, the sum of a pair
+of nodes that may be linked may not.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def pair_sum(m: Array, f: Array, directed: bool) -> float:
 class Kernel:
     channels: tuple[str, ...] = ()
     directed = True
-    rates = False  # positive rates instead of multipliers
+    rates = False  # rates instead of multipliers
     method = "fixedpoint"
     # Number of parameters for each node, and whether a pair counts once or twice, for information criteria.
     per_node = 1
@@ -46,7 +47,7 @@ class Kernel:
     # Fitness form: an array for each channel.
     def split(self, u: Array) -> list[Array]:
         full = np.zeros(len(self.flat), u.dtype)
-        full[self.live] = np.exp(u if self.rates else -u)
+        full[self.live] = u if self.rates else np.exp(-u)
         if self.rates:
             full[~self.live] = np.inf
         return np.split(full, len(self.channels))
@@ -76,19 +77,19 @@ class Kernel:
 
     def update(self, u: Array) -> Array:
         e = self.expected(u)[self.live]
+        if self.rates:
+            return u * e / self.flat[self.live]
         return u + np.log(e) - np.log(self.flat[self.live])
 
     def gradient(self, u: Array) -> Array:
         """Of the negative log-likelihood, by u."""
-        g = (self.weight * (self.flat - self.expected(u)))[self.live]
-        return g * np.exp(u) if self.rates else g
+        return (self.weight * (self.flat - self.expected(u)))[self.live]
 
     def value(self, u: Array) -> float:
         return -self.loglikelihood(u)
 
     def linear(self, u: Array) -> float:
-        live = self.live
-        return float(-(self.weight * self.flat)[live] @ (np.exp(u) if self.rates else u))
+        return float(-(self.weight * self.flat)[self.live] @ u)
 
     def loglikelihood(self, u: Array) -> float:
         raise NotImplementedError
@@ -410,7 +411,9 @@ def over(p: Array, rate: Array) -> Array:
 
 
 def log_rate(p: Array, rate: Array) -> Array:
-    return np.where((p > 0) & np.isfinite(rate), p * np.log(np.where(np.isfinite(rate), rate, 1)), 0)
+    """NaN where a pair that may be linked has no positive rate."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((p > 0) & np.isfinite(rate), p * np.log(np.where(np.isfinite(rate), rate, 1)), 0)
 
 
 class CReM(Kernel):
@@ -422,6 +425,11 @@ class CReM(Kernel):
         super().__init__(c, f)
         self.p, self.binary = p, binary
 
+    def log_sum(self, m: Array) -> float:
+        """The sum over pairs of nodes; a class of one node has no pair of its own, whatever its rate."""
+        m[np.arange(self.k), np.arange(self.k)] = np.where(self.f == 1, 0, np.diagonal(m))
+        return pair_sum(m, self.f, self.directed)
+
     def sums(self, t):
         return [others(over(self.p, t[:, None] + t), self.f)]
 
@@ -435,7 +443,7 @@ class CReM(Kernel):
 
     def loglikelihood(self, u):
         (t,) = self.split(u)
-        return self.linear(u) + pair_sum(log_rate(self.p, t[:, None] + t), self.f, False)
+        return self.linear(u) + self.log_sum(log_rate(self.p, t[:, None] + t))
 
     def start(self, kind="strengths", seed=0):
         return rate_start(kind, self.flat[self.live], float(self.f @ self.c["s"]), seed)
@@ -465,7 +473,7 @@ class DCReM(CReM):
 
     def loglikelihood(self, u):
         o, i = self.split(u)
-        return self.linear(u) + pair_sum(log_rate(self.p, o[:, None] + i), self.f, True)
+        return self.linear(u) + self.log_sum(log_rate(self.p, o[:, None] + i))
 
     def start(self, kind="strengths", seed=0):
         return rate_start(kind, self.flat[self.live], float(self.f @ self.c["s_out"]), seed)
@@ -502,7 +510,7 @@ class CRWCM(CReM):
 
     def loglikelihood(self, u):
         a, b = self.rates_of(u)
-        return self.linear(u) + pair_sum(log_rate(self.binary["p_fwd"], a), self.f, True) + pair_sum(log_rate(self.binary["p_rec"], b), self.f, True)
+        return self.linear(u) + self.log_sum(log_rate(self.binary["p_fwd"], a)) + self.log_sum(log_rate(self.binary["p_rec"], b))
 
     def start(self, kind="strengths", seed=0):
         single, both = (float(self.f @ self.c[k]) for k in ("s_out", "s_rec_out"))
@@ -520,11 +528,10 @@ class CRWCM(CReM):
 
 
 def rate_start(kind: str, s: Array, total: float | Array, seed: int) -> Array:
-    """Logarithms of the rates."""
     if kind == "strengths":
-        return np.log(np.ones(len(s)) / total)
+        return np.ones(len(s)) / total
     if kind == "strengths_minor":
-        return -np.log(s + 1)
+        return 1 / (s + 1)
     if kind == "random":
-        return np.log(np.random.default_rng(seed).uniform(0.001, 1, len(s)))
+        return np.random.default_rng(seed).uniform(0.001, 1, len(s))
     raise ValueError(f"unknown start {kind!r}")

@@ -121,7 +121,8 @@ class Model:
     def solve(self, method: str | None = None, initial: str | None = None, maxiters: int = 1000, ftol: float | None = None, g_tol: float = 1e-8, memory: int = 8, seed: int = 0) -> Model:
         """``fixedpoint`` (``ftol`` bounds the last step), BFGS, L-BFGS or Newton (``g_tol`` bounds the gradient).
 
-        BFGS and Newton hold a matrix of all parameters, so more than ``MAX_CLASSES`` classes take the fixed point or L-BFGS."""
+        Rates have a fixed point only where all are positive; where it does not converge, Newton's method solves the same equations.
+        BFGS, and Newton but for rates, hold a matrix of all parameters, so more than ``MAX_CLASSES`` classes take another method."""
         method = method or self.problem.method
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
@@ -130,11 +131,13 @@ class Model:
         if method == "fixedpoint" and self.kernel in (kernels.UECM, kernels.DECM):
             warn("the fixed point of this model is not stable; BFGS is")
         p = self.problem
-        if self.large and method in ("BFGS", "Newton"):
+        if self.large and (method == "BFGS" or method == "Newton" and not p.rates):
             raise ValueError(f"{method} holds a matrix of all parameters; use L-BFGS or fixedpoint for {len(self)} classes")
         start = self.initial_guess(initial, seed)
         if not len(start):
             self.theta, self.iterations = start, 0
+        elif p.rates and method in ("fixedpoint", "Newton"):
+            self.theta, self.iterations = self._solve_rates(start, method, maxiters, ftol or 1e-8, g_tol, memory)
         elif method == "fixedpoint":
             self.theta, self.iterations = solvers.fixed_point(p.update, start, ftol or 1e-8, maxiters, memory)
         elif method == "Newton":
@@ -147,6 +150,18 @@ class Model:
         self.__dict__.pop("pairs", None)
         return self
 
+    def _solve_rates(self, start: np.ndarray, method: str, maxiters: int, ftol: float, g_tol: float, memory: int) -> tuple[np.ndarray, int]:
+        """The fixed point steps in the logarithms of the rates; Newton's method, which also finds negative ones, in the rates."""
+        p = self.problem
+        if method == "fixedpoint":
+            try:
+                logs, steps = solvers.fixed_point(lambda v: np.log(p.update(np.exp(v))), np.log(start), ftol, maxiters, memory, damped=False)
+                return np.exp(logs), steps
+            except ConvergenceError:
+                warn("the fixed point did not converge (a rate may be negative): solved by Newton's method")
+                start = self.initial_guess("strengths_minor")
+        return solvers.convex_newton(p.value, p.gradient, start, (p.weight * p.flat)[p.live], g_tol)
+
     def _need(self) -> np.ndarray:
         if self.theta is None:
             raise StateError("solve the model first")
@@ -161,7 +176,7 @@ class Model:
         """cls, f, constraints, and for each constraint its multiplier or rate; dead ones are infinite."""
         full = np.full(len(self.problem.flat), np.inf)
         u = self._need()
-        full[self.problem.live] = np.exp(u) if self.problem.rates else u
+        full[self.problem.live] = u
         parts = np.split(full, len(self.problem.channels))
         rows = self.class_rows[["cls", "f", *self.keys]].copy()
         for name, part in zip(self.problem.channels, parts):

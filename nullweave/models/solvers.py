@@ -13,12 +13,12 @@ Array = np.ndarray
 STALLED = 100
 
 
-def fixed_point(update: Callable[[Array], Array], start: Array, ftol: float = 1e-8, maxiters: int = 1000, memory: int = 8) -> tuple[Array, int]:
+def fixed_point(update: Callable[[Array], Array], start: Array, ftol: float = 1e-8, maxiters: int = 1000, memory: int = 8, damped: bool = True) -> tuple[Array, int]:
     """Fixed point of ``update``; the largest change of a plain step bounds the error.
 
-    Anderson acceleration with ``memory`` first (0 is the plain iteration); where that fails, damped steps with a shorter
-    memory, then without."""
-    tries = [(memory, 1.0)] + ([(min(memory, 5), 0.5), (0, 0.5)] if memory else [])
+    Anderson acceleration with ``memory`` first (0 is the plain iteration); where that fails and ``damped`` is set, damped steps with a
+    shorter memory, then without."""
+    tries = [(memory, 1.0)] + ([(min(memory, 5), 0.5), (0, 0.5)] if memory and damped else [])
     for k, (m, damping) in enumerate(tries):
         try:
             return _iterate(update if damping == 1 else lambda u, d=damping: u + d * (update(u) - u), start, ftol * damping, maxiters, m)
@@ -150,3 +150,38 @@ def newton(value, gradient, hessian, start: Array, g_tol: float = 1e-8, maxiters
             break
         x = new
     raise ConvergenceError("Newton", f"gradient {np.abs(gradient(x)).max():.2e}")
+
+
+def convex_newton(value, gradient, start: Array, size: Array, g_tol: float = 1e-8, maxiters: int = 200) -> tuple[Array, int]:
+    """Newton's method for a convex value whose Hessian has no negative entry and twice its diagonal as row sums, as sums over
+    pairs of -log(x_i + x_j) have; ends when no gradient is above ``g_tol`` times ``size``.
+
+    The Hessian is never made: its products are complex steps of ``gradient``, and conjugate gradients, scaled by its diagonal,
+    solve each step as exactly as the gradient asks for."""
+    x, tiny = start.copy(), 1e-30
+    for k in range(1, maxiters + 1):
+        g = gradient(x)
+        worst = np.abs(g / size).max()
+        if worst <= g_tol:
+            return x, k
+        product = lambda v, x=x: np.imag(gradient(x + 1j * tiny * v)) / tiny
+        scale = product(np.ones(len(x))) / 2
+        d, r = np.zeros(len(x)), -g
+        z = r / scale
+        v, rz = z.copy(), r @ z
+        goal = rz * min(0.01, worst)
+        for _ in range(4 * len(x)):
+            hv = product(v)
+            step = rz / (v @ hv)
+            d, r = d + step * v, r - step * hv
+            z = r / scale
+            rz, before = r @ z, rz
+            if not rz > goal:
+                break
+            v = z + rz / before * v
+        x, _, step = search(value, x, d, float(g @ d), value(x))
+        if not step:
+            if worst <= max(1e3 * g_tol, 1e-6):
+                return x, k
+            break
+    raise ConvergenceError("Newton", f"gradient {worst:.2e} of the constraints")

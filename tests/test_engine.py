@@ -478,7 +478,7 @@ def test_many_classes_give_the_same_model(spark, monkeypatch, kind):
     with pytest.raises(ValueError):
         parts.pairs
     with pytest.raises(ValueError):
-        parts.solve(method="Newton")
+        model.Model.solve(parts, method="BFGS")
 
 
 def test_many_classes_solve(spark, monkeypatch):
@@ -489,4 +489,24 @@ def test_many_classes_solve(spark, monkeypatch):
     monkeypatch.setattr(blocks, "CELLS", 256)
     parts = CReM.from_graph(g).solve(maxiters=5000, ftol=1e-5, conditional={"ftol": 1e-5})
     assert isinstance(parts.first, blocks.Blocks) and isinstance(parts.problem, blocks.Blocks)
-    assert np.allclose(parts.theta, whole.theta, atol=1e-3) and parts.constraint_residual(relative=True) < 1e-4
+    assert np.allclose(parts.theta, whole.theta, rtol=1e-3) and parts.constraint_residual(relative=True) < 1e-4
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_negative_rates_are_found(spark, monkeypatch, many):
+    """Strengths made from rates of which one is negative, which no fixed point in logarithms reaches."""
+    degrees = UBCM(spark.createDataFrame([(i, 3 + i % 4) for i in range(12)], "id long, k long")).solve(ftol=1e-12)
+    cls = [r["cls"] - 1 for r in degrees.members.orderBy("id").collect()]
+    p = degrees.pairs["p"][np.ix_(cls, cls)]
+    np.fill_diagonal(p, 0)
+    rates = 0.5 + 0.05 * np.arange(12)
+    rates[5] = -0.2
+    s = (p / (rates[:, None] + rates + np.eye(12))).sum(1)
+    if many:
+        monkeypatch.setattr(model, "MAX_CLASSES", 5)
+        monkeypatch.setattr(blocks, "CELLS", 64)
+    rows = spark.createDataFrame([(i, 3 + i % 4, float(s[i])) for i in range(12)], "id long, k long, s double")
+    m = CReM(rows).solve(method="Newton" if many else None, conditional={"ftol": 1e-12})
+    got = {(r["k"], r["s"]): r["theta_s"] for r in m.parameters().collect()}
+    assert m.large == many and np.allclose([got[(3 + i % 4, float(s[i]))] for i in range(12)], rates, atol=1e-6)
+    assert m.constraint_residual(relative=True) < 1e-7
