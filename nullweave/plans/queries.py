@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ModelWarning
 from ..functions import numeric
-from ..graph import Bipartite, Graph, bipartite, successors
+from ..graph import Bipartite, Graph, bipartite, from_edges, stored, successors
 from ..models import expectations as ex
 from ..models import projection, sampling
 from ..models.model import BiCM, CRWCM, CReM, DBCM, DCReM, DECM, RBCM, UBCM, UECM, Model
@@ -528,7 +528,8 @@ def of_kinds(*kinds: type[Model]):
     """Samples of models of the successor graph reproduce its links and weight."""
 
     def run(spark, sf_dir):
-        und, dire = succ_und(spark, sf_dir), succ(spark, sf_dir)
+        dire = from_edges(stored(succ(spark, sf_dir).edges, "links"), True, weight="w")
+        und = dire.undirected()
         rows = []
         for model in kinds:
             g = und if model in (UBCM, UECM, CReM) else dire
@@ -549,7 +550,7 @@ of_kinds(UECM, DECM)
 
 @query(BI + "SELECT 'bicm' AS model, CAST(count(*) AS BIGINT) AS links, TRUE AS kept FROM b")
 def samples_keep_sums_bicm(spark, sf_dir):
-    g = sup_cust(spark, sf_dir)
+    g = bipartite(stored(sup_cust(spark, sf_dir).edges, "links"))
     return spark.createDataFrame([kept_sums("bicm", BiCM.from_graph(g).solve(maxiters=5000), float(g.edges.count()))], "model string, links long, kept boolean")
 
 

@@ -572,3 +572,14 @@ def test_newton_stays_in_the_domain_of_weights(directed):
         d = -np.ones(len(u))
         far = p.reach(u, d)
         assert np.isfinite(p.value(u + 0.999 * far * d)) and not np.isfinite(p.value(u + 1.001 * far * d))
+
+
+def test_samples_have_tasks_in_proportion_to_links(spark, monkeypatch):
+    """A few class pairs that become millions of links are not one task's."""
+    real, made = sampling.drawn, []
+    monkeypatch.setattr(sampling, "drawn", lambda *a: made.append(real(*a)) or made[-1])
+    m = UBCM(spark.range(2000).select("id", F.lit(600).alias("k"))).solve()
+    sampling.sample(m, 8, seed=2)
+    assert made[0].rdd.getNumPartitions() == 10
+    count = made[0].where("sample_id = 3").agg(F.count("*").alias("n"), F.count_distinct("ra", "rb").alias("d")).first()
+    assert count["n"] == count["d"] and abs(count["n"] - 600_000) < 6 * 600_000**0.5
