@@ -421,7 +421,7 @@ def significance_annd(spark, sf_dir):
     m = UBCM.from_graph(g).solve(**TIGHT)
     mu, sigma = m.expectation("annd"), ex.neighbour_degree_deviation(m.pairs["p"], m.f, m.pairs["var"])
     table = spark.createDataFrame([(k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(mu, sigma))], "cls int, mu double, sigma double")
-    out = seq.neighbour_degree(g).join(m.members.select("id", "cls"), "id").join(F.broadcast(table), "cls").select("id", F.col("annd").alias("obs"), "mu", "sigma", ((F.col("annd") - F.col("mu")) / F.col("sigma")).alias("z"))
+    out = seq.neighbour_degree(g).join(m.members.select("id", "cls"), "id").join(F.broadcast(table), "cls").select("id", F.col("annd").alias("obs"), "mu", "sigma", F.when(F.col("sigma") > 0, (F.col("annd") - F.col("mu")) / F.col("sigma")).alias("z"))
     return rounded(rounded(out, 4, "obs", "mu", "sigma"), 3, "z")
 
 
