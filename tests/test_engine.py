@@ -599,6 +599,17 @@ def test_newton_has_no_wall_at_own_pairs_of_lone_nodes(directed, seed):
         assert steps < 60 and np.abs(p.expected(u) / p.flat - 1)[p.live].max() <= 1e-8
 
 
+def test_samples_of_lone_nodes_keep_their_sums(spark):
+    """Links and weights of samples where nearly every class is one node."""
+    (k, s), f = lone_nodes(False, 0)
+    rows = [(int(x), int(y)) for x, y, n in zip(k, s, f) for _ in range(int(n))]
+    m = UECM(spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "id long, k long, s long")).solve()
+    got = sampling.sample(m, 60, seed=4)
+    assert got.where("src = dst").count() == 0
+    seen = got.agg(F.count("*").alias("l"), F.sum("w").alias("w")).first()
+    assert abs(seen["l"] / 60 - (f @ k) / 2) < 5 * m.sigma("edges") / 60**0.5 and abs(seen["w"] / (30 * (f @ s)) - 1) < 0.1
+
+
 @pytest.mark.parametrize("directed, seed, nodes, links", [(True, 1, 6, 8), (False, 5, 10, 4), (True, 2, 15, 4), (False, 1, 15, 8)])
 def test_newton_comes_back_from_chances_of_one(directed, seed, nodes, links):
     """Nearly every pair is linked: a long step made all chances of a node 1 to rounding, where no curvature is left."""
